@@ -67,7 +67,7 @@ PROSE_PATTERNS = (
     ("PROSE_2", r"th.{0,4}ndly"),
     ("PROSE_3", r"(is|in)\s+(the\s+)?(a|an|that)\b"),
     ("PROSE_4", r"[aeiou]{6,}"),
-    ("PROSE_5", r"\bde\b[^.]{0,20}\bla\b"),
+    ("PROSE_5", r"\b(de|que)\s+(la|ci)\b"),
 )
 
 

@@ -49,17 +49,22 @@ def split_to_tables(prompts: DataFrame, home: str | None = None,
     """
     spark = prompts.sparkSession
     home = home or shared_dir(spark, "intake")
+    good = F.col("reject_reason").isNull()
     judged = judge(prompts).drop("shape_error")
-    judged = judged.withColumn("accepted", F.col("reject_reason").isNull())
-    judged = judged.withColumn("text", F.when(F.col("accepted"), strip(F.col("text"))).otherwise(F.col("text")))
+    judged = judged.withColumns(
+        {
+            "outcome": F.when(good, F.lit("accepted")).otherwise(F.lit("rejected")),
+            "text": F.when(good, strip(F.col("text"))).otherwise(F.col("text")),
+        }
+    )
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy("accepted").parquet(f"{home}/rows/batch={number}")
+        batch.write.mode("overwrite").partitionBy("outcome").parquet(f"{home}/rows/batch={number}")
 
     _run(judged.writeStream.foreachBatch(write), home, trigger)
     rows = spark.read.option("basePath", f"{home}/rows").parquet(f"{home}/rows").drop("batch")
-    good = rows.where(F.col("accepted")).drop("accepted", "reject_reason")
-    return good, rows.where(~F.col("accepted")).drop("accepted")
+    accepted_rows = rows.where(F.col("outcome") == "accepted").drop("outcome", "reject_reason")
+    return accepted_rows, rows.where(F.col("outcome") == "rejected").drop("outcome")
 
 
 def count_to_table(prompts: DataFrame, stages: Sequence[Stage], *dimensions: str,
