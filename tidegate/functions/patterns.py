@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from re import _constants as sre
 from re import _parser
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from tidegate.errors import ResourceError
 from tidegate.functions.text import WHITESPACE
@@ -64,17 +67,26 @@ class JvmPattern:
     folded: bool
     guards: tuple[tuple[str, ...], ...]
 
-    def matches(self, lowered: Column, folded: Column) -> Column:
-        """Cheap substring tests first; the regex runs only on rows that pass all of them."""
-        test = (folded if self.folded else lowered).rlike(self.regex)
+    def matches(self, lowered: str, folded: str) -> Column:
+        """Cheap substring tests first; the regex runs only on rows that pass all of them.
+
+        Both arguments are column names.
+        """
+        test = F.col(folded if self.folded else lowered).rlike(self.regex)
         for clause in reversed(self.guards):
-            some = folded.contains(clause[0])
-            for literal in clause[1:]:
-                some = some | folded.contains(literal)
-            test = some & test
+            test = _contains_any(folded, clause) & test
         return test
 
 
+def _contains_any(column: str, literals: tuple[str, ...]) -> Column:
+    """Plain words go through one SQL fragment (one round trip to the JVM), the rest one by one."""
+    plain = [x for x in literals if x.replace(" ", "").isalnum()]
+    tests = [F.col(column).contains(x) for x in literals if x not in plain]
+    if plain:
+        tests.append(F.expr(" OR ".join(f"contains({column}, '{x}')" for x in plain)))
+    return reduce(or_, tests)
+
+
 def to_jvm(name: str, pattern: str) -> JvmPattern:
     """Compile as Python would (case-insensitive, Unicode), then restate for the JVM."""
     try:

@@ -14,6 +14,11 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITESPACE))
 
 
+def is_blank(text: Column) -> Column:
+    """Nothing left after stripping; looks no further than the first other character."""
+    return F.ltrim(text, F.lit(WHITESPACE)) == ""
+
+
 def ascii_folded(lowered: Column) -> Column:
     """Map the two lower-case letters that a case-insensitive match equates with ASCII ones.
 

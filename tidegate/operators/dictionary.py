@@ -8,14 +8,17 @@ leftmost-longest one is a ``min_by``. Bank size only affects the join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.errors import ResourceError
+from tidegate.functions.plan import pinned
 from tidegate.operators.rules import LOWERED, with_matchable
 from tidegate.session import BROADCAST_ROWS, broadcast_if_small
 
 _RUNS = "([0-9a-z_]+|[^0-9a-z_]+)"
+# Up to this many (length, first word) pairs are tested in place.
+INLINE_HEADS = 2_000
 _WORD_BOUNDED = "^[0-9a-z_](?s:.*[0-9a-z_])?$"
 
 
@@ -30,49 +33,81 @@ def first_keywords_by_join(
     shuffled. Beyond, both sides shuffle on the n-gram, with the bank repeated ``salts`` times so
     that one n-gram found in a third of all prompts is spread out.
     """
-    shape = banks.agg(
-        F.collect_set("words").alias("lengths"),
-        F.collect_set("bank").alias("names"),
-        F.count_if(~F.col("folded").rlike(_WORD_BOUNDED)).alias("unbounded"),
-    ).first()
-    if shape["unbounded"]:
-        raise ResourceError(f"{shape['unbounded']} keywords that do not start and end with a word character")
-    grams = _grams(prompts, sorted(shape["lengths"]))
+    names, heads = _shape(banks)
+    grams = _grams(prompts, heads)
     entries = banks.select(F.col("folded").alias("gram"), "bank", "keyword")
     entries, small = broadcast_if_small(entries, max_broadcast_rows)
     if small:
-        hits = grams.join(entries, "gram")
+        hits = _rows(grams).join(entries, "gram")
     else:
-        salted = grams.withColumn("salt", F.pmod(F.xxhash64("prompt_id"), F.lit(salts)).cast("int"))
+        salted = _rows(_earliest(grams)).withColumn("salt", F.pmod(F.xxhash64("prompt_id"), F.lit(salts)).cast("int"))
         copies = F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt")
         hits = salted.join(entries.select("*", copies), ["gram", "salt"])
     earliest = F.struct("start", -F.length("gram"))
     return hits.groupBy("prompt_id").agg(
         *[
             F.min_by("keyword", F.when(F.col("bank") == name, earliest)).alias(name)
-            for name in sorted(shape["names"])
+            for name in names
         ]
     )
 
 
-def _grams(prompts: DataFrame, lengths: list[int]) -> DataFrame:
-    """Distinct run n-grams per prompt with their first position, deduplicated inside the row."""
-    runs = with_matchable(prompts).select(
-        "prompt_id", F.regexp_extract_all(LOWERED, F.lit(_RUNS), F.lit(1)).alias("runs")
-    )
-    spans = F.array(*[F.lit(2 * n - 1) for n in lengths])
+def _shape(banks: DataFrame) -> tuple[list[str], dict[int, list[str] | None]]:
+    """Bank names, and keyword length in words -> first words of the keywords of that length.
+
+    With few first words in all, n-grams need only start at those (a hash-set test per word);
+    with many, only the lengths are kept (as ``None``) and every word may start one.
+    """
+    kinds = banks.select(
+        "bank",
+        "words",
+        F.regexp_extract("folded", "^[0-9a-z_]+", 0).alias("head"),
+        F.col("folded").rlike(_WORD_BOUNDED).alias("bounded"),
+    ).distinct()
+    rows = kinds.limit(INLINE_HEADS + 1).collect()
+    inline = len(rows) <= INLINE_HEADS
+    if not inline:
+        rows = kinds.select("bank", "words", "bounded", F.lit(None).alias("head")).distinct().collect()
+    if not all(row["bounded"] for row in rows):
+        raise ResourceError("keywords that do not start and end with a word character")
+    heads: dict[int, list[str] | None] = {}
+    for words in sorted({row["words"] for row in rows}):
+        first = {row["head"] for row in rows if row["words"] == words}
+        heads[words] = sorted(first) if inline else None
+    return sorted({row["bank"] for row in rows}), heads
 
-    def at(start):
-        grams = F.transform(
-            F.filter(spans, lambda span: start + span - 1 <= F.size("runs")),
-            lambda span: F.struct(
-                F.array_join(F.slice("runs", start, span), "").alias("gram"), start.alias("start")
-            ),
-        )
-        return grams
 
+def _grams(prompts: DataFrame, heads: dict[int, list[str] | None]) -> DataFrame:
+    """``prompt_id`` and the array ``g`` of run n-grams with their first run."""
+    cut = F.regexp_extract_all(LOWERED, F.lit(_RUNS), F.lit(1))
+    runs = with_matchable(prompts).select("prompt_id", pinned(cut).alias("runs"))
     first_word = F.when(F.col("runs")[0].rlike("^[0-9a-z_]"), 1).otherwise(2)
     starts = F.when(first_word <= F.size("runs"), F.sequence(first_word, F.size("runs"), F.lit(2)))
-    every = runs.select("prompt_id", F.array_sort(F.flatten(F.transform(starts, at))).alias("g"))
-    earliest = F.filter("g", lambda x, i: (i == 0) | (x["gram"] != F.get("g", i - 1)["gram"]))
-    return every.select("prompt_id", F.explode(earliest).alias("g")).select("prompt_id", "g.*")
+    runs = runs.withColumn("starts", F.coalesce(starts, F.array().cast("array<int>")))
+
+    def of_length(words: int, first: list[str] | None) -> Column:
+        span = 2 * words - 1
+
+        def opens(start: Column) -> Column:
+            fits = start + span - 1 <= F.size("runs")
+            return fits if first is None else fits & F.get("runs", start - 1).isin(*first)
+
+        def gram(start: Column) -> Column:
+            text = F.array_join(F.slice("runs", start, F.lit(span)), "")
+            return F.struct(text.alias("gram"), start.alias("start"))
+
+        return F.transform(F.filter("starts", opens), gram)
+
+    every = F.concat(*[of_length(words, first) for words, first in sorted(heads.items())])
+    return runs.select("prompt_id", pinned(every).alias("g"))
+
+
+def _earliest(grams: DataFrame) -> DataFrame:
+    """Each n-gram once per prompt, before it is shuffled."""
+    ordered = grams.withColumn("g", F.array_sort("g"))
+    fresh = F.filter("g", lambda x, i: (i == 0) | (x["gram"] != F.get("g", i - 1)["gram"]))
+    return ordered.withColumn("g", fresh)
+
+
+def _rows(grams: DataFrame) -> DataFrame:
+    return grams.select("prompt_id", F.explode("g").alias("g")).select("prompt_id", "g.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.functions.text import strip
+from tidegate.functions.text import is_blank, strip
 from tidegate.model import MAX_CHARS
 
 
@@ -16,7 +16,7 @@ def reject_reason(text: Column) -> Column:
         F.when(text.isNull(), F.lit("missing"))
         .when(size < 1, F.lit("too_short"))
         .when(size > MAX_CHARS, F.lit("too_long"))
-        .when(strip(text) == "", F.lit("blank"))
+        .when(is_blank(text), F.lit("blank"))
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.labels import gate, normalise_label
-from tidegate.operators.rules import all_keywords, all_patterns, with_matchable
+from tidegate.operators.rules import all_keywords, all_patterns, match_columns
 from tidegate.sources.banks import Banks
 
 
@@ -85,9 +85,10 @@ def length_profile(verdicts: DataFrame) -> DataFrame:
 
 def keyword_usage(prompts: DataFrame, banks: Banks) -> DataFrame:
     """Every bank keyword with the number of prompts it was found in (0 if none)."""
-    hits = with_matchable(prompts).select(
-        F.array_distinct(all_keywords(banks.crisis)).alias("crisis"),
-        F.array_distinct(all_keywords(banks.malign)).alias("malign"),
+    hits = match_columns(
+        prompts,
+        crisis=F.array_distinct(all_keywords(banks.crisis)),
+        malign=F.array_distinct(all_keywords(banks.malign)),
     )
 
     def tagged(bank: str) -> Column:
@@ -108,7 +109,7 @@ def keyword_usage(prompts: DataFrame, banks: Banks) -> DataFrame:
 
 def pattern_usage(prompts: DataFrame, banks: Banks) -> DataFrame:
     """Every pattern with the number of prompts it matches, shadowed or not."""
-    hits = with_matchable(prompts).select(F.explode(all_patterns(banks.patterns)).alias("id"))
+    hits = match_columns(prompts, ids=all_patterns(banks.patterns)).select(F.explode("ids").alias("id"))
     counts = hits.groupBy("id").agg(F.count(F.lit(1)).alias("prompts"))
     bank = banks.patterns.frame(prompts.sparkSession)
     return bank.join(counts, "id", "left").select(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.keywords import as_written, extract_all, extract_first, has_keyword
+from tidegate.functions.plan import pinned
 from tidegate.functions.text import ascii_folded
 from tidegate.model import CRISIS, MALIGN, RULE_STAGE, STAGE_RESULT, VALID
 from tidegate.sources.banks import Banks, KeywordBank, PatternBank
@@ -27,7 +28,7 @@ def _drop_matchable(df: DataFrame) -> DataFrame:
 
 def first_pattern(bank: PatternBank) -> Column:
     """Id of the first pattern, in bank order, found anywhere in the text; null if none."""
-    tests = [(p.jvm.matches(F.col(LOWERED), F.col(FOLDED)), F.lit(p.id)) for p in bank.patterns]
+    tests = [(p.jvm.matches(LOWERED, FOLDED), F.lit(p.id)) for p in bank.patterns]
     if not tests:
         return F.lit(None).cast("string")
     return reduce(lambda c, t: c.when(*t), tests[1:], F.when(*tests[0]))
@@ -35,7 +36,7 @@ def first_pattern(bank: PatternBank) -> Column:
 
 def all_patterns(bank: PatternBank) -> Column:
     """Ids of every matching pattern, in bank order."""
-    hits = [F.when(p.jvm.matches(F.col(LOWERED), F.col(FOLDED)), F.lit(p.id)) for p in bank.patterns]
+    hits = [F.when(p.jvm.matches(LOWERED, FOLDED), F.lit(p.id)) for p in bank.patterns]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
@@ -67,9 +68,9 @@ def rule_hit(banks: Banks) -> Column:
     def found(label: str, trigger: Column) -> Column:
         return F.struct(F.lit(label).alias("label"), trigger.alias("triggered_by"))
 
-    lowered, folded = F.col(LOWERED), F.col(FOLDED)
+    lowered = F.col(LOWERED)
     cases = [
-        (p.jvm.matches(lowered, folded), found(MALIGN, F.lit(f"bypass:{p.id}")))
+        (p.jvm.matches(LOWERED, FOLDED), found(MALIGN, F.lit(f"bypass:{p.id}")))
         for p in banks.patterns.patterns
     ]
     clean = found(VALID, F.lit(None).cast("string"))
@@ -99,7 +100,7 @@ def match_columns(df: DataFrame, **columns: Column) -> DataFrame:
     """Add matcher outputs to prompts, e.g. ``match_columns(p, hit=first_keyword(bank))``."""
     prepared = with_matchable(df)
     for name, column in columns.items():
-        prepared = prepared.withColumn(name, column)
+        prepared = prepared.withColumn(name, pinned(column))
     return _drop_matchable(prepared)
 
 

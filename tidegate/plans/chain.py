@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions.plan import pinned
 from tidegate.model import STAGE_ERROR
 from tidegate.operators import trace as tracing
 from tidegate.operators.verdict import merge_wide, verdict_columns
@@ -23,17 +24,6 @@ def _out(order: int) -> str:
     return f"_out{order}"
 
 
-def _pinned(column: Column) -> Column:
-    """Keep a stage's outcome computed once.
-
-    The optimizer moves a filter on a verdict below the projections that made it, and copies their
-    expressions into the filter; with several stages building on one another the copies multiply.
-    It never moves a filter below a non-deterministic expression; the partition number is the
-    cheapest one, constant per task and never negative.
-    """
-    return F.when(F.spark_partition_id() >= 0, column)
-
-
 def run_stages(prompts: DataFrame, stages: Sequence[Stage], short_circuit: bool = True) -> DataFrame:
     """Add one outcome column per stage plus the failure, if any.
 
@@ -45,7 +35,7 @@ def run_stages(prompts: DataFrame, stages: Sequence[Stage], short_circuit: bool
     df = prompts.withColumns({_HALT: F.lit(False), _FAIL: F.lit(None).cast(STAGE_ERROR)})
     for order, stage in enumerate(stages):
         df = stage.evaluate(df, ~F.col(_HALT), _out(order))
-        df = df.withColumn(_out(order), _pinned(F.col(_out(order))))
+        df = df.withColumn(_out(order), pinned(F.col(_out(order))))
         error = F.col(_out(order))["error"]
         stop = F.col(_HALT) | F.coalesce(error.isNotNull(), F.lit(False))
         if short_circuit:
