@@ -92,11 +92,9 @@ def to_jvm(name: str, pattern: str) -> JvmPattern:
     try:
         re.compile(pattern, re.IGNORECASE | re.UNICODE)
         tree = _parser.parse(pattern, re.IGNORECASE | re.UNICODE)
-    except (re.error, OverflowError, RecursionError) as exc:
+    except (re.error, ValueError, OverflowError, RecursionError) as exc:
         raise ResourceError(f"pattern {name}", exc) from exc
     flags = tree.state.flags
-    if flags & re.ASCII:
-        raise ResourceError(f"pattern {name} (ASCII-only matching is not supported)")
     writer = _Writer(name)
     body = writer.sequence(tree, flags)
     if writer.foldable:
