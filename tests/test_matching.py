@@ -184,7 +184,7 @@ def test_severity_join(spark, banks):
 
 
 PATTERNS = [
-    r"a\sb", r"\bdan\b", r"x\Bdan", r"^dan", r"dan$", r"dan\Z", r"(?s)a.b", r"a.b", r"[\s,]+b", r"[^\s]b", r"[^\S]b",
+    r"a\sb", r"\bdan\b", r"\b\w+\b9", r"\b(dan|an)\b", r"a\bb", r"\b_?\b", r"\bé", r"é\b", r"\b\.", r"dan\B", r"x\Bdan", r"^dan", r"dan$", r"dan\Z", r"(?s)a.b", r"a.b", r"[\s,]+b", r"[^\s]b", r"[^\S]b",
     r"(?P<w>an)(?P=w)", r"(an)\1", r"a{,2}b", r"a{2}b", r"[a-c]{2,3}?d", r"\d+", r"\w+é", r"[\w-]+@", r"\Wb",
     r"(?m)^b", r"(?m)a$", r"(?:a|b)+c", r"(?<=a)b", r"(?<!a)b", r"(?=an)a", r"(?!an)a", r"[]a]b", r"[&&a]b", r"a\{b",
     r"s\+", r"É", r"ſ", r"[ſ]x", r"strasse", r"[A-Z]9", r"[^k]9", r"(?x) a  b # c", r"a(?#note)b", r"(?>an)d", r"a++b",
@@ -196,7 +196,7 @@ def test_translated_patterns_agree_with_python(spark):
     rng = random.Random(3)
     pieces = ["a", "b", "dan", "AN", "an", "c", "d", "9", " ", "\n", " ", "\x1f", "\r", " ", "é", "É", "ſ",
               "s", "S", "+", ",", "@", "{", "]", "&", ".", "-", "_", "strasse", "ß", "́", "k", "K", "ı", "i",
-              "µ", "μ", "σ", "ς", "٣", "x"]
+              "µ", "μ", "σ", "ς", "٣", "x", "\U0001d400", "\U0001f600"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
     bank = PatternBank.from_mapping({"patterns": [{"id": str(i), "pattern": p} for i, p in enumerate(PATTERNS)]})
     bank.verify(spark)

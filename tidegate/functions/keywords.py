@@ -13,10 +13,6 @@ from os.path import commonprefix
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NOT_AFTER_WORD = "(?<![0-9A-Za-z_])"
-_NOT_BEFORE_WORD = "(?![0-9A-Za-z_])"
-
-
 def _quote(text: str) -> str:
     return "".join(ch if ch.isalnum() or ch in " _" else f"\\x{{{ord(ch):x}}}" for ch in text)
 
@@ -36,13 +32,12 @@ def _factored(words: list[str]) -> str:
 
 
 def keyword_regex(folded: list[str]) -> str | None:
-    """Group 1 is the keyword; ``None`` for an empty bank. A first-letter look-ahead spares the
-    alternation at most positions."""
+    """All keywords as one prefix-sharing alternation; ``None`` for an empty bank.
+
+    On the JVM ``\\w`` is exactly the ASCII word class used here.
+    """
     words = sorted(set(folded))
-    if not words:
-        return None
-    heads = "".join(_quote(ch) for ch in sorted({w[0] for w in words}))
-    return f"{_NOT_AFTER_WORD}(?=[{heads}])({_factored(words)}){_NOT_BEFORE_WORD}"
+    return _factored(words) if words else None
 
 
 def as_written(hit: Column, spelling: Mapping[str, str]) -> Column:
@@ -54,17 +49,30 @@ def as_written(hit: Column, spelling: Mapping[str, str]) -> Column:
     return F.coalesce(F.element_at(table, hit), hit)
 
 
+def _search(lowered: Column, regex: str) -> tuple[Column, str]:
+    """Text and expression for finding one hit, in group 1.
+
+    With a blank put in front, every hit has a non-word character before it to consume, which
+    costs less than looking behind at each position.
+    """
+    return F.concat(F.lit(" "), lowered), rf"\W({regex})(?!\w)"
+
+
 def has_keyword(lowered: Column, regex: str | None) -> Column:
-    return F.lit(False) if regex is None else lowered.rlike(regex)
+    if regex is None:
+        return F.lit(False)
+    text, search = _search(lowered, regex)
+    return text.rlike(search)
 
 
 def extract_first(lowered: Column, regex: str) -> Column:
     """Only call where ``has_keyword`` holds: the empty string stands for no hit."""
-    return F.regexp_extract(lowered, regex, 1)
+    return F.regexp_extract(*_search(lowered, regex), 1)
 
 
 def extract_all(lowered: Column, regex: str | None) -> Column:
-    """Every non-overlapping hit, in text order."""
+    """Every non-overlapping hit, in text order. Neighbours share the separator between them, so
+    here it is looked at, not consumed."""
     if regex is None:
         return F.array().cast("array<string>")
-    return F.regexp_extract_all(lowered, F.lit(regex), F.lit(1))
+    return F.regexp_extract_all(lowered, F.lit(rf"(?<!\w)({regex})(?!\w)"), F.lit(1))

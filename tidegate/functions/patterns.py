@@ -35,8 +35,11 @@ def _ranges(chars: str) -> str:
 
 _SPACE = _ranges(WHITESPACE)
 _WORD = r"\p{L}\p{N}_"
-_EDGE = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
-_INSIDE = f"(?:(?<=[{_WORD}])(?=[{_WORD}])|(?<![{_WORD}])(?![{_WORD}]))"
+# The same set for look-behinds. The raw supplementary letter (a member anyway) makes the JVM step
+# back over surrogate pairs as whole characters.
+_BEHIND = f"[{_WORD}\U00010000]"
+_EDGE = f"(?:(?<={_BEHIND})(?![{_WORD}])|(?<!{_BEHIND})(?=[{_WORD}]))"
+_INSIDE = f"(?:(?<={_BEHIND})(?=[{_WORD}])|(?<!{_BEHIND})(?![{_WORD}]))"
 _ANY = r"(?s:.)"
 
 _POSITIONS = {
@@ -54,6 +57,7 @@ _MEMBERS = {
     sre.CATEGORY_WORD: _WORD,
 }
 _COMPLEMENTS = {sre.CATEGORY_NOT_SPACE: f"[^{_SPACE}]", sre.CATEGORY_NOT_WORD: f"[^{_WORD}]"}
+_BOUNDARY = (sre.AT, sre.AT_BOUNDARY)
 _SINGLE = (sre.LITERAL, sre.NOT_LITERAL, sre.ANY, sre.IN)
 _REPEATS = {sre.MAX_REPEAT: "", sre.MIN_REPEAT: "?", sre.POSSESSIVE_REPEAT: "+"}
 
@@ -117,13 +121,35 @@ def _range_folds(low: int, high: int) -> bool:
     return not letters or (letters == span and len({ch.islower() for ch in letters}) == 1)
 
 
+def _is_word(item) -> bool:
+    return item[0] is sre.LITERAL and (chr(item[1]).isalnum() or item[1] == ord("_"))
+
+
 class _Writer:
     def __init__(self, name: str) -> None:
         self.name = name
         self.foldable = True
 
     def sequence(self, items, flags: int, fold: bool = False) -> str:
-        return "".join(self.node(op, arg, flags, fold) for op, arg in items)
+        """Nodes one after another; a word boundary beside a literal is written the cheap way.
+
+        Before a word character only the character in front matters, and testing the literal
+        first lets the search skip most positions; after one, only the character that follows.
+        """
+        out = []
+        for index, (op, arg) in enumerate(items):
+            before = items[index - 1] if index else (None, None)
+            after = items[index + 1] if index + 1 < len(items) else (None, None)
+            if (op, arg) == _BOUNDARY and _is_word(after):
+                continue
+            if (op, arg) == _BOUNDARY and _is_word(before):
+                out.append(f"(?![{_WORD}])")
+            elif before == _BOUNDARY and _is_word((op, arg)):
+                char = self.char(arg, fold)
+                out.append(f"{char}(?<!{_BEHIND}{char})")
+            else:
+                out.append(self.node(op, arg, flags, fold))
+        return "".join(out)
 
     def char(self, code: int, fold: bool) -> str:
         if code > 127:
@@ -218,8 +244,8 @@ def _clauses(items) -> list[frozenset[str]]:
 
 
 def _ranked(clauses: list[frozenset[str]]) -> list[frozenset[str]]:
-    """Most selective first: long shortest literal, then few literals."""
-    return sorted(clauses, key=lambda c: (-min(6, *map(len, c), 6), len(c), sorted(c)))
+    """Best first: no very short literal (those are everywhere), few tests, long literals."""
+    return sorted(clauses, key=lambda c: (min(map(len, c)) < 4, len(c), -min(map(len, c)), sorted(c)))
 
 
 def _guards(tree, keep: int = 2, min_length: int = 3) -> tuple[tuple[str, ...], ...]:

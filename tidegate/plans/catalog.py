@@ -34,7 +34,7 @@ from tidegate.plans.stages import (
     semantic_stage,
 )
 from tidegate.session import ship
-from tidegate.sources.banks import Banks
+from tidegate.sources.banks import Banks, keyword_frame
 from tidegate.sources.prompts import parse_requests
 from tidegate.streaming import jobs
 
@@ -163,7 +163,8 @@ def keyword_all_hits(spark, sf_dir):
 
 
 def keyword_ngram_join(spark, sf_dir):
-    banks = Banks.load().keyword_frame(spark).unionByName(seeds.prose_bank().frame(spark))
+    shipped = Banks.load()
+    banks = keyword_frame(spark, shipped.crisis, shipped.malign, seeds.prose_bank())
     found = first_keywords_by_join(_accepted(spark, sf_dir), banks)
     return found.select("prompt_id", "crisis", "malign", "prose")
 

@@ -9,9 +9,12 @@ from functools import cached_property
 from importlib import resources
 from typing import Any
 
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidegate.errors import ResourceError
 from tidegate.functions.keywords import keyword_regex
@@ -93,11 +96,24 @@ class KeywordBank:
         return {entry.folded: entry.keyword for entry in self.entries}
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [
-            (self.name, e.category, e.level, e.keyword, e.folded, word_count(e.folded))
-            for e in self.entries
-        ]
-        return spark.createDataFrame(rows, KEYWORD_ROW)
+        return keyword_frame(spark, self)
+
+
+def keyword_frame(spark: SparkSession, *banks: KeywordBank) -> DataFrame:
+    """Bank rows as one local relation, whose size the planner knows."""
+    rows = [
+        (bank.name, e.category, e.level, e.keyword, e.folded, word_count(e.folded))
+        for bank in banks
+        for e in bank.entries
+    ]
+    return _local_frame(spark, rows, KEYWORD_ROW)
+
+
+def _local_frame(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(column, field.type) for column, field in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow))
 
 
 def _text(value: Any) -> str:
@@ -155,7 +171,7 @@ class PatternBank:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, p.id, p.description, p.pattern) for i, p in enumerate(self.patterns)]
-        return spark.createDataFrame(rows, PATTERN_ROW)
+        return _local_frame(spark, rows, PATTERN_ROW)
 
 
 @dataclass(frozen=True)
@@ -183,7 +199,7 @@ class Banks:
         return keyword_regex([entry.folded for entry in entries])
 
     def keyword_frame(self, spark: SparkSession) -> DataFrame:
-        return self.crisis.frame(spark).unionByName(self.malign.frame(spark))
+        return keyword_frame(spark, self.crisis, self.malign)
 
     def __repr__(self) -> str:
         sizes = len(self.crisis), len(self.malign), len(self.patterns)
