@@ -14,12 +14,12 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.operators.intake import accepted, judge
-from tidegate.functions.text import strip
+from tidegate.operators.intake import accepted
 from tidegate.operators.reports import verdict_counts
 from tidegate.plans.chain import screen
 from tidegate.plans.stages import Stage
 from tidegate.session import shared_dir
+from tidegate.sources.sinks import write_intake
 
 
 def _run(writer: Any, home: str, trigger: dict[str, Any] | None) -> None:
@@ -49,19 +49,11 @@ def split_to_tables(prompts: DataFrame, home: str | None = None,
     """
     spark = prompts.sparkSession
     home = home or shared_dir(spark, "intake")
-    good = F.col("reject_reason").isNull()
-    judged = judge(prompts).drop("shape_error")
-    judged = judged.withColumns(
-        {
-            "outcome": F.when(good, F.lit("accepted")).otherwise(F.lit("rejected")),
-            "text": F.when(good, strip(F.col("text"))).otherwise(F.col("text")),
-        }
-    )
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy("outcome").parquet(f"{home}/rows/batch={number}")
+        write_intake(batch, f"{home}/rows/batch={number}", "overwrite")
 
-    _run(judged.writeStream.foreachBatch(write), home, trigger)
+    _run(prompts.writeStream.foreachBatch(write), home, trigger)
     rows = spark.read.option("basePath", f"{home}/rows").parquet(f"{home}/rows").drop("batch")
     accepted_rows = rows.where(F.col("outcome") == "accepted").drop("outcome", "reject_reason")
     return accepted_rows, rows.where(F.col("outcome") == "rejected").drop("outcome")
