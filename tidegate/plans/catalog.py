@@ -513,12 +513,7 @@ def _document_stream(spark, sf_dir, text):
         .parquet(sf_dir)
         .repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
     )
-    return stream.select(
-        F.col("doc_id").cast("string").alias("prompt_id"),
-        F.expr(text).alias("text"),
-        F.expr(seeds.SESSION).alias("session_id"),
-        "source",
-    )
+    return seeds.prompts_of(stream, text)
 
 
 def stream_screen(spark, sf_dir):

@@ -79,10 +79,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def document_prompts(spark: SparkSession, sf_dir: str, text: str = DOCUMENT_TEXT,
-                     **extra: str) -> DataFrame:
-    """Raw prompts from ``documents``; ``extra`` adds further columns by SQL."""
-    return documents(spark, sf_dir).select(
+def prompts_of(docs: DataFrame, text: str = DOCUMENT_TEXT, **extra: str) -> DataFrame:
+    """Raw prompts from rows of ``documents``; ``extra`` adds further columns by SQL."""
+    return docs.select(
         F.expr("CAST(doc_id AS STRING)").alias("prompt_id"),
         F.expr(text).alias("text"),
         F.expr(SESSION).alias("session_id"),
@@ -91,37 +90,44 @@ def document_prompts(spark: SparkSession, sf_dir: str, text: str = DOCUMENT_TEXT
     )
 
 
-def turn_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw prompts from ``conversations``: every turn, its conversation as the session."""
-    turns = table(spark, sf_dir, "conversations").withColumn(
-        "prompt_id", F.expr("CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING)")
-    )
-    return spread(turns).select(
-        "prompt_id",
+def document_prompts(spark: SparkSession, sf_dir: str, text: str = DOCUMENT_TEXT,
+                     **extra: str) -> DataFrame:
+    return prompts_of(documents(spark, sf_dir), text, **extra)
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        F.expr("CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING)").alias("prompt_id"),
         F.expr(TURN_TEXT).alias("text"),
         F.col("conv_id").cast("string").alias("session_id"),
         F.col("role").alias("source"),
     )
 
 
+def turn_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw prompts from ``conversations``: every turn, its conversation as the session."""
+    return spread(_turns(spark, sf_dir))
+
+
 def all_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, turns, web pages and benchmark passages in one prompt table."""
+    """Documents, turns, web pages and benchmark passages in one prompt table, spread as one."""
 
     def plain(name: str, key: str, text: str) -> DataFrame:
-        return spread(table(spark, sf_dir, name), key).select(
+        return table(spark, sf_dir, name).select(
             F.concat(F.lit(name[0]), F.col(key).cast("string")).alias("prompt_id"),
             F.col(text).alias("text"),
             F.lit(None).cast("string").alias("session_id"),
             F.lit(name).alias("source"),
         )
 
-    docs = document_prompts(spark, sf_dir)
-    docs = docs.withColumn("prompt_id", F.concat(F.lit("d"), "prompt_id"))
-    return (
-        docs.unionByName(turn_prompts(spark, sf_dir))
+    docs = prompts_of(table(spark, sf_dir, "documents"))
+    union = (
+        docs.withColumn("prompt_id", F.concat(F.lit("d"), "prompt_id"))
+        .unionByName(_turns(spark, sf_dir))
         .unionByName(plain("pages", "page_id", "html"))
         .unionByName(plain("benchmark", "item_id", "text"))
     )
+    return spread(union)
 
 
 def prose_bank() -> KeywordBank:
