@@ -19,6 +19,7 @@ from tidegate.operators.rules import (
 )
 from tidegate.plans.chain import stage_results
 from tidegate.plans.stages import DictionaryRuleStage, RuleStage
+from tidegate.session import broadcast_if_small
 from tidegate.sources.banks import Banks, Keyword, KeywordBank, PatternBank
 
 SEPARATORS = [" ", "  ", "\t", "\n", "\r", "\x0b", "\x1f", "\x85", " ", " ", "　", "-", "_",
@@ -252,3 +253,21 @@ def test_bank_frames(spark, banks):
     assert frame.count() == 153 and frame.where("words > 9").count() == 0
     assert [r.ord for r in banks.patterns.frame(spark).orderBy("ord").collect()] == list(range(13))
     assert frame.where(F.col("bank") == "malign").where("level is not null").count() == 0
+
+
+def test_broadcast_is_measured(spark):
+    rows = spark.range(50).select(F.lpad(F.col("id").cast("string"), 10, "x").alias("gram"))
+    assert broadcast_if_small(rows)[1]
+    assert broadcast_if_small(rows, 50, 500)[1]
+    assert not broadcast_if_small(rows, 49)[1]
+    assert not broadcast_if_small(rows, 50, 499)[1]
+    assert broadcast_if_small(rows.limit(0))[1]
+
+
+def test_hot_prompts_and_hot_grams(spark, prompts, banks):
+    """A third of the rows is one text that hits the same n-gram a hundred times."""
+    hot = "last night and " * 100
+    texts = [hot] * 300 + [f"calm text {i}" for i in range(600)]
+    for bound in (1000, 0):
+        found = first_keywords_by_join(prompts(*texts), banks.keyword_frame(spark), bound, salts=4).collect()
+        assert len(found) == 300 and {(r.crisis, r.malign) for r in found} == {("last night", None)}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.labels import gate, normalise_label
-from tidegate.operators.rules import all_keywords, all_patterns, match_columns
+from tidegate.operators.rules import all_patterns, keyword_hits, match_columns
 from tidegate.sources.banks import Banks
 
 
@@ -85,19 +85,8 @@ def length_profile(verdicts: DataFrame) -> DataFrame:
 
 def keyword_usage(prompts: DataFrame, banks: Banks) -> DataFrame:
     """Every bank keyword with the number of prompts it was found in (0 if none)."""
-    hits = match_columns(
-        prompts,
-        crisis=F.array_distinct(all_keywords(banks.crisis)),
-        malign=F.array_distinct(all_keywords(banks.malign)),
-    )
-
-    def tagged(bank: str) -> Column:
-        return F.transform(bank, lambda kw: F.struct(F.lit(bank).alias("bank"), kw.alias("keyword")))
-
     counts = (
-        hits.select(F.explode(F.concat(tagged("crisis"), tagged("malign"))).alias("h"))
-        .groupBy("h.bank", "h.keyword")
-        .agg(F.count(F.lit(1)).alias("prompts"))
+        keyword_hits(prompts, banks).groupBy("bank", "keyword").agg(F.count(F.lit(1)).alias("prompts"))
     )
     bank = banks.keyword_frame(prompts.sparkSession)
     # The counts are bounded by the bank, which the driver parsed: both sides are tiny.

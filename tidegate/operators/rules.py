@@ -104,6 +104,21 @@ def match_columns(df: DataFrame, **columns: Column) -> DataFrame:
     return _drop_matchable(prepared)
 
 
+def keyword_hits(prompts: DataFrame, banks: Banks) -> DataFrame:
+    """``(prompt_id, bank, keyword)``, each keyword once per prompt, from one pass over the text."""
+
+    def tagged(bank: str) -> Column:
+        return F.transform(bank, lambda kw: F.struct(F.lit(bank).alias("bank"), kw.alias("keyword")))
+
+    found = match_columns(
+        prompts,
+        crisis=F.array_distinct(all_keywords(banks.crisis)),
+        malign=F.array_distinct(all_keywords(banks.malign)),
+    )
+    both = F.concat(tagged("crisis"), tagged("malign"))
+    return found.select("prompt_id", F.explode(both).alias("hit")).select("prompt_id", "hit.*")
+
+
 def severity(hits: DataFrame, banks: Banks, keyword: str = "keyword", bank: str = "bank") -> DataFrame:
     """Left equi-join of keyword hits with their category and level.
 

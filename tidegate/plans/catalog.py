@@ -18,6 +18,7 @@ from tidegate.operators.rules import (
     all_patterns,
     first_keyword,
     first_pattern,
+    keyword_hits,
     match_columns,
     severity,
 )
@@ -178,16 +179,7 @@ def rule_stage(spark, sf_dir):
 
 def severity_enrichment(spark, sf_dir):
     banks = Banks.load()
-    found = match_columns(
-        _accepted(spark, sf_dir),
-        crisis=F.array_distinct(all_keywords(banks.crisis)),
-        malign=F.array_distinct(all_keywords(banks.malign)),
-    )
-    tagged = [
-        found.select("prompt_id", F.lit(bank).alias("bank"), F.explode(bank).alias("keyword"))
-        for bank in ("crisis", "malign")
-    ]
-    return severity(tagged[0].unionByName(tagged[1]), banks)
+    return severity(keyword_hits(_accepted(spark, sf_dir), banks), banks)
 
 
 def keyword_bank(spark, sf_dir):

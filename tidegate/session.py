@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A broadcast side may hold at most this many rows; anything larger is shuffle-joined.
+# A broadcast side may hold at most this many rows and bytes; anything larger is shuffle-joined.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -49,9 +50,22 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Hint a broadcast only after counting ``side`` up to the bound; else leave it to a shuffle."""
-    fits = side.limit(max_rows + 1).count() <= max_rows
+def broadcast_if_small(
+    side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> tuple[DataFrame, bool]:
+    """Hint a broadcast only after measuring ``side`` up to the bounds; else leave it to a shuffle.
+
+    One row past the row bound settles the question, so the measurement is bounded as well.
+    """
+    sizes = [
+        F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)).cast("long")
+        for name in side.columns
+    ]
+    measured = side.limit(max_rows + 1).select(sum(sizes, F.lit(0)).alias("bytes")).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")
+    )
+    found = measured.first()
+    fits = found["rows"] <= max_rows and found["bytes"] <= max_bytes
     return (F.broadcast(side) if fits else side), fits
 
 
