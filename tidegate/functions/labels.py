@@ -31,7 +31,8 @@ def is_blocking(label: Column) -> Column:
 
 def normalise_label(raw: Column, label_map: Mapping[str, str]) -> Column:
     """Map keys are compared with the upper-cased raw label; unknown labels become Valid."""
-    return F.coalesce(_lookup(F.upper(raw), label_map), F.lit(VALID))
+    table = F.create_map(*[F.lit(x) for pair in label_map.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.upper(raw)), F.lit(VALID))
 
 
 def gate(label: Column, score: Column, threshold: float) -> Column:

@@ -57,8 +57,12 @@ def parse_json(predictions: Column) -> Column:
     A label must be a JSON string. A score may also be a boolean or a numeral in a string, as a
     float conversion would allow; null, missing, nested or non-numeric values are stage errors.
     """
-    value = F.try_parse_json(predictions)
+    # The one-element transform names the parsed value, so that it is parsed once.
+    parsed = F.array(F.try_parse_json(predictions))
+    return F.get(F.transform(parsed, _read_variant), 0)
 
+
+def _read_variant(value: Column) -> Column:
     def field(path: str, kind: str) -> Column:
         return F.try_variant_get(value, path, kind)
 
