@@ -7,18 +7,35 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import bpe
+from tidegate.llm import bpe, language, packing, toxicity
 from tidegate.llm.common import start, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_digests(table(start(spark), sf_dir, "documents"), VOCABULARY)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(start(spark), sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(start(spark), sf_dir, "documents")
     return bpe.digests(docs, VOCABULARY, bpe.build_lexicon(docs, VOCABULARY))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(start(spark), sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_toxicity": op2_toxicity,
     "op6_bpe_transducer": op6_bpe_transducer,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
