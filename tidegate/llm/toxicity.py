@@ -14,6 +14,7 @@ whole. Only the key, the text and the label are read, so other columns may have
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,13 +24,16 @@ from pyspark.sql import functions as F
 
 from tidegate.llm.common import kept_out, mix, raw, start, text_of
 
-MOST_PER_CLASS = 1_500  # bound of the learning sample
+MOST_TOXIC, MOST_CLEAN = 2_000, 4_000  # bounds of the learning sample
 BUCKETS = 1 << 16
 WIDTH = 6
 EPOCHS = 14
 BATCH = 64
-RATE = 0.35
-SCALE = 40.0
+RATE = TABLE_RATE = 0.1
+FLOOR = 1e-6  # AdaGrad's sum of squares at the start
+START = 0.003
+SCALE = 60.0
+REST = 20.0
 REJECT_AT = 0.7
 KEPT_WORDS = 400_000
 
@@ -86,16 +90,24 @@ class Model:
         return (np.add.reduceat(self.value[bucket], at) / n).tolist()
 
 
+def weighed(found: list[bytes]) -> tuple[list[bytes], np.ndarray, float]:
+    """Distinct words, how often each counts, and the divisor of the mean. No word counts for more
+    than a fiftieth of its text, or one; ``REST`` words of no meaning steady the mean of short texts."""
+    times = Counter(found)
+    counts = np.minimum(np.fromiter(times.values(), dtype=np.float64, count=len(times)), 1 + len(found) // 50)
+    return list(times), counts, len(found) + REST
+
+
 def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text as buckets and their weights in its mean vector."""
     out = []
     for text in texts:
-        found, times = np.unique(np.array(words(text), dtype=object), return_counts=True)
-        if not len(found):
+        found, times, divisor = weighed(words(text))
+        if not found:
             out.append((np.zeros(0, dtype=np.int64), np.zeros(0)))
             continue
-        bucket, n = grams(found.tolist())
-        total = np.bincount(bucket, weights=np.repeat(times / n / times.sum(), n), minlength=BUCKETS)
+        bucket, n = grams(found)
+        total = np.bincount(bucket, weights=np.repeat(times / n / divisor, n), minlength=BUCKETS)
         kept = np.nonzero(total)[0]
         out.append((kept, total[kept]))
     return out
@@ -108,9 +120,10 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: in
     if not len(labels) or share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS), -np.inf if share == 0 else np.inf)
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1, 1, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH
+    table = rng.uniform(-START, START, (BUCKETS, WIDTH)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
-    g_table, g_soft, g_bias = (np.full(BUCKETS, 1e-6, dtype=np.float32), np.full_like(soft, 1e-6), np.full_like(bias, 1e-6))
+    g_table = np.full(BUCKETS, FLOOR, dtype=np.float32)
+    g_soft, g_bias = np.full_like(soft, 1e-6), np.full_like(bias, 1e-6)
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     order = np.arange(len(labels))
     for epoch in range(EPOCHS):
@@ -137,7 +150,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: in
                 [np.bincount(where, weights=share_of * back[owner, k], minlength=len(met)) for k in range(WIDTH)], 1
             ).astype(np.float32)
             g_table[met] += (grad**2).mean(1)
-            table[met] -= rate * grad / np.sqrt(g_table[met])[:, None] * 0.2
+            table[met] -= TABLE_RATE * (1 - epoch / EPOCHS) * grad / np.sqrt(g_table[met])[:, None]
             g_soft += d_soft**2
             soft -= rate * d_soft / np.sqrt(g_soft)
             g_bias += d_bias**2
@@ -152,17 +165,18 @@ def train(
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    most_per_class: int = MOST_PER_CLASS,
+    most_toxic: int = MOST_TOXIC,
+    most_clean: int = MOST_CLEAN,
 ) -> Model:
-    """Fit on labelled rows that are not held out: of each class the ``most_per_class`` whose hashed
+    """Fit on labelled rows that are not held out: of each class the bounded number whose hashed
     keys are least. Texts are read whole by the tasks; the driver gets their weighted buckets."""
     start(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~kept_out(key)).select(
         F.col(key).alias("key"), F.col(label).cast("int").alias("label")
     )
     order = [F.xxhash64("key"), F.col("key")]
-    chosen = known.where("label = 1").orderBy(*order).limit(most_per_class).unionByName(
-        known.where("label = 0").orderBy(*order).limit(most_per_class)
+    chosen = known.where("label = 1").orderBy(*order).limit(most_toxic).unionByName(
+        known.where("label = 0").orderBy(*order).limit(most_clean)
     )
 
     def bag(batches):
@@ -181,13 +195,13 @@ def train(
     kind = docs.schema[key].dataType.simpleString()
     sample = (
         docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        .join(F.broadcast(chosen), "key")  # at most two classes of ``most_per_class`` keys
+        .join(F.broadcast(chosen), "key")  # most_toxic + most_clean keys at most
         .select("key", "label", "text")
         .mapInArrow(bag, f"key {kind}, label int, buckets binary, weights binary")
     )
     rows = sorted(sample.collect(), key=lambda r: (r["key"], r["label"], bytes(r["buckets"])))
     texts = [
-        (np.frombuffer(r["buckets"], dtype="<i4").astype(np.int64), np.frombuffer(r["weights"], dtype="<f4")) for r in rows
+        (np.frombuffer(r["buckets"], dtype="<i4"), np.frombuffer(r["weights"], dtype="<f4")) for r in rows
     ]
     return fit(texts, np.array([r["label"] for r in rows], dtype=np.int64))
 
@@ -199,14 +213,15 @@ class Scorer:
         self.model, self.most, self.known = model, most, {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        cut = [words(t) for t in texts]
-        new = set().union(*cut) - self.known.keys()
+        cut = [weighed(words(t)) for t in texts]
+        new = set().union(*(w for w, _, _ in cut)) - self.known.keys()
         if len(new) + len(self.known) > self.most:
-            self.known, new = {}, set().union(*cut)
+            self.known, new = {}, set().union(*(w for w, _, _ in cut))
         vocabulary = list(new)
         self.known.update(zip(vocabulary, self.model.of_words(vocabulary), strict=True))
         get = self.known.__getitem__
-        logits = np.array([sum(map(get, w)) / len(w) if w else 0.0 for w in cut]) + self.model.bias
+        logits = [float(np.dot(list(map(get, w)), n)) / total if w else 0.0 for w, n, total in cut]
+        logits = np.array(logits, dtype=np.float64) + self.model.bias
         with np.errstate(over="ignore"):
             return 1 / (1 + np.exp(-logits))
 
