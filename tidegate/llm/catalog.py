@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import bpe, language, packing, toxicity
+from tidegate.llm import bpe, jaccard, language, packing, toxicity
 from tidegate.llm.common import start, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,10 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, VOCABULARY, bpe.build_lexicon(docs, VOCABULARY))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(start(spark), sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(start(spark), sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op6_bpe_transducer": op6_bpe_transducer,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
