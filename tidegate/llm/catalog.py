@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import bpe, jaccard, language, packing, toxicity
+from tidegate.llm import bpe, jaccard, language, packing, substring, toxicity
 from tidegate.llm.common import start, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(start(spark), sf_dir, "documents"))
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(start(spark), sf_dir, "documents")
     return bpe.digests(docs, VOCABULARY, bpe.build_lexicon(docs, VOCABULARY))
@@ -39,6 +43,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
+    "op5_substring_rlz": op5_substring_rlz,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_language_id": op10_language_id,
