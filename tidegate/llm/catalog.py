@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import bpe, jaccard, language, packing, substring, toxicity
+from tidegate.llm import bpe, jaccard, language, packing, substring, toxicity, warc
 from tidegate.llm.common import start, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(start(spark), sf_dir, "documents"))
 
 
+def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(start(spark), sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(start(spark), sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -46,6 +50,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_rlz": op5_substring_rlz,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_warc_revisit": op9_warc_revisit,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc_revisit": """
+        WITH p AS (
+            SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+        ), t AS (
+            SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM t""",
+}
