@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import bpe, jaccard, language, packing, substring, toxicity, warc
+from tidegate.llm import bpe, jaccard, language, packing, preference, substring, toxicity, warc
 from tidegate.llm.common import start, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.digests(preference.neighbours(table(spark, sf_dir, "conversations")))
+
+
 def op5_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(start(spark), sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_preference": op3_preference,
     "op5_substring_rlz": op5_substring_rlz,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op8_ngram_jaccard": op8_ngram_jaccard,
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
+    "op3_preference": preference.ORACLE,
     "op9_warc_revisit": """
         WITH p AS (
             SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages
