@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, jaccard, language, packing, preference, substring, toxicity, warc
+from tidegate.llm import bpe, caps, jaccard, language, packing, preference, substring, topk, toxicity, warc
 from tidegate.llm.common import start, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +27,10 @@ def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.digests(preference.neighbours(table(spark, sf_dir, "conversations")))
 
 
+def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(start(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(start(spark), sf_dir, "documents"))
 
@@ -35,6 +40,10 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, VOCABULARY, bpe.build_lexicon(docs, VOCABULARY))
 
 
+def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near(table(start(spark), sf_dir, "embeddings"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(start(spark), sf_dir, "documents"))
 
@@ -52,8 +61,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op3_preference": op3_preference,
+    "op4_maxscore": op4_maxscore,
     "op5_substring_rlz": op5_substring_rlz,
     "op6_bpe_transducer": op6_bpe_transducer,
+    "op7_cap_filters": op7_cap_filters,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_warc_revisit": op9_warc_revisit,
     "op10_language_id": op10_language_id,
