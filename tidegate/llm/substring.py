@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegate.llm.common import WordHashes, start, windows, written
 
@@ -143,17 +144,26 @@ def _parted(part_count: int, block: int, order_by: np.ndarray, columns: dict[str
     )
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(key, text, spans array<struct<start, end, reference>>) of each row: its factors, in words."""
+def spans(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """(key, text, spans array<struct<start, end, reference>>) of each row: its factors, in words.
+    ``carry`` names a column that is to come along."""
     start(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    load = docs.schema[carry].dataType if carry else T.BooleanType()
+    docs = docs.select(
+        F.col(key).cast("long").alias("id"),
+        F.col(text).alias("text"),
+        (F.col(carry) if carry else F.lit(None).cast("boolean")).alias("carried"),
+    )
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes + 1)
     parts = int(size // 6 // 20 * 2 // ENTRIES_PER_PART + 4)
     # Rows without a key are spread by their text.
     number = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.xxhash64("text"))), F.lit(blocks)).cast("int")
-    dealt = docs.withColumn("block", number)
+    whole = docs.withColumn("block", number)
+    dealt = whole.drop("carried")
 
     def post_anchors(table: pa.Table) -> pa.Table:
         kinds, several = _block(table).anchor_posts()
@@ -202,12 +212,13 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
 
     def parse(table: pa.Table, hits: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "spans": pa.array([], span)})
+            none = table.select(["id", "text", "carried"])
+            return none.append_column("spans", pa.array([], span))
         block = _block(table)
         found = block.factors(block.earlier(_longs(hits, "print"), _longs(hits, "source", np.int64)))
         of = dict(zip(block.rows, found, strict=True))
         lists = [[{"start": s, "end": e, "reference": r} for s, e, r in of[i]] for i in range(table.num_rows)]
-        return pa.table({"id": table.column("id"), "text": table.column("text"), "spans": pa.array(lists, span)})
+        return table.select(["id", "text", "carried"]).append_column("spans", pa.array(lists, span))
 
     posted = dealt.groupBy("block").applyInArrow(post_anchors, "part int, block int, anchor binary, several binary")
     live = written(posted.groupBy("part").applyInArrow(meet_anchors, "block int, live binary"), "anchors")
@@ -215,12 +226,25 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
         dealt.groupBy("block").cogroup(live.groupBy("block")).applyInArrow(post_windows, "part int, block int, print binary, least binary")
     )
     hits = written(entries.groupBy("part").applyInArrow(meet_windows, "block int, print binary, source binary"), "windows")
-    return (
-        dealt.groupBy("block")
+    factor = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "reference")])
+    out = T.StructType(
+        [
+            T.StructField("id", T.LongType()),
+            T.StructField("text", T.StringType()),
+            T.StructField("carried", load),
+            T.StructField("spans", T.ArrayType(factor)),
+        ]
+    )
+    found = (
+        whole.groupBy("block")
         .cogroup(hits.groupBy("block"))
-        .applyInArrow(parse, "id long, text string, spans array<struct<start:long,end:long,reference:long>>")
-        .withColumn("id", F.col("id").cast(kind))
-        .withColumnRenamed("id", key)
+        .applyInArrow(parse, out)
+    )
+    return found.select(
+        F.col("id").cast(kind).alias(key),
+        F.col("text").alias(text),
+        *([F.col("carried").alias(carry)] if carry else []),
+        "spans",
     )
 
 
@@ -252,5 +276,40 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 ["key", "n_words", "n_removed", "kept_sha256"],
             )
 
-    found = spans(docs, key, text).select(F.col(key).alias("key"), "text", "spans")
+    found = spans(docs, key, text).select(F.col(key).alias("key"), F.col(text).alias("text"), "spans")
     return found.mapInArrow(digest, f"key {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("key", key)
+
+
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """``docs`` with the kept words of each text, joined by single blanks, where some are removed, and
+    with ``size``, if there is such a column, set to the new length. Other texts stay as they are."""
+    kind = docs.schema[size].dataType.simpleString() if size in docs.columns else None
+    # The other columns ride along with the text as one value.
+    rest = [c for c in docs.columns if c != text]
+    carried = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct(*rest).alias("_row"))
+    found = spans(carried, "_key", "_text", carry="_row")
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for value, spots in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                out.append(b" ".join(keep(words_of(value), spots)) if spots else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["_row", "_text", "_kept"]
+            )
+
+    row = T.StructType(
+        [carried.schema["_row"], T.StructField("_text", T.StringType()), T.StructField("_kept", T.BinaryType())]
+    )
+    done = found.select("_row", "_text", "spans").mapInArrow(cut, row)
+    kept = F.col("_kept").cast("string")
+    columns = []
+    for name in docs.columns:
+        if name == text:
+            column = F.coalesce(kept, "_text")
+        else:
+            column = F.col("_row").getField(name)
+            if name == size:
+                column = F.when(kept.isNotNull(), F.length(kept).cast(kind)).otherwise(column)
+        columns.append(column.alias(name))
+    return done.select(*columns)
