@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,24 +46,12 @@ def mix(x):
     return x
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept while the word is seen; emptied at ``most`` entries."""
-
-    def __init__(self, most: int = 500_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = value
-        return value
-
-    def of(self, words: list[bytes]):
-        import numpy as np
+def word_hashes(words: list[bytes]):
+    """64-bit XXH3 of every word."""
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
 
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def windows(hashes, width: int):

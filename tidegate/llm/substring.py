@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.llm.common import WordHashes, start, windows, written
+from tidegate.llm.common import start, windows, word_hashes, written
 
 WINDOW = 50
 PHRASE = 10
@@ -54,7 +54,7 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> n
 class Block:
     """All words of a reference block's documents, and where their windows start."""
 
-    def __init__(self, ids: list[int | None], texts: list[bytes | None], hashes: WordHashes):
+    def __init__(self, ids: list[int | None], texts: list[bytes | None]):
         # Documents in order of their keys, those without one last.
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
         self.rows, self.words = order, [words_of(texts[i]) for i in order]
@@ -62,7 +62,7 @@ class Block:
         prints, mins, docs, starts = [], [], [], []
         for n, words in enumerate(self.words):
             if len(words) >= WINDOW and ids[order[n]] is not None:
-                hashed = hashes.of(words)
+                hashed = word_hashes(words)
                 prints.append(windows(hashed, WINDOW))
                 mins.append(anchors(hashed))
                 docs.append(np.full(len(prints[-1]), n))
@@ -119,7 +119,7 @@ class Block:
 def _block(table: pa.Table) -> Block:
     ids = table.column("id").to_pylist()
     texts = table.column("text").cast(pa.binary()).to_pylist()
-    return Block(ids, texts, WordHashes())
+    return Block(ids, texts)
 
 
 def _longs(table: pa.Table, name: str, kind=np.uint64) -> np.ndarray:
