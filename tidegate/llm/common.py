@@ -89,3 +89,15 @@ def written(df: DataFrame, purpose: str, *by: str) -> DataFrame:
 def parts(df: DataFrame, per_part: int, least: int = 1) -> int:
     """How many partitions hold about ``per_part`` rows each; grows with the table."""
     return max(least, -(-df.count() // per_part))
+
+
+def groups(texts: list[str], letters: int):
+    """Consecutive texts of about so many letters, as slices: what a task holds at a time."""
+    lo, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= letters:
+            yield slice(lo, i + 1)
+            lo, held = i + 1, 0
+    if lo < len(texts):
+        yield slice(lo, len(texts))

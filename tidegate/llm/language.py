@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import kept_out, mix, raw, start, text_of
+from tidegate.llm.common import groups, kept_out, mix, raw, start, text_of
 from tidegate.llm.toxicity import words
 
 GRAMS = (1, 2, 3, 4)
@@ -93,18 +93,6 @@ def ranked(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, most: int = RAN
     return doc[kept], gram[kept], rank[kept]
 
 
-def groups(texts: list[str]):
-    """Consecutive texts of about ``GROUP_LETTERS`` letters, as slices."""
-    lo, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= GROUP_LETTERS:
-            yield slice(lo, i + 1)
-            lo, held = i + 1, 0
-    if lo < len(texts):
-        yield slice(lo, len(texts))
-
-
 @dataclass
 class Profiles:
     """``rank[language, n-gram]`` over all listed n-grams in order of hash; ``RANKS`` where not listed."""
@@ -127,7 +115,7 @@ class Profiles:
         found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.names:
             return found, scores
-        for part in groups(texts):
+        for part in groups(texts, GROUP_LETTERS):
             some = texts[part]
             doc, gram, rank = ranked(*counted(some))
             at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
@@ -168,7 +156,7 @@ def train(
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), dtype=object)
             texts = [text_of(v) for v in raw(batch, "text")]
-            for part in groups(texts):
+            for part in groups(texts, GROUP_LETTERS):
                 doc, gram, times = counted(texts[part])
                 of = names[part][doc] if len(doc) else []
                 yield pa.RecordBatch.from_arrays(

@@ -11,8 +11,11 @@ import json
 import re
 import struct
 
+from tidegate.llm.common import groups
+
 ODD = re.compile(r"\s\s|[^\S \n]|\0")
-KEPT_PIECES = 400_000
+KEPT_PIECES = 300_000
+GROUP_LETTERS = 2_000_000
 
 _loaded: dict[str, Vocabulary] = {}
 
@@ -93,6 +96,9 @@ class Encoder:
         self.known: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return [ids for part in groups(texts, GROUP_LETTERS) for ids in self._encode(texts[part])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.vocabulary.pieces(text) for text in texts]
         new = set().union(*(p for p in cut if p is not None)) - self.known.keys()
         if len(new) + len(self.known) > self.most:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import kept_out, mix, raw, start, text_of
+from tidegate.llm.common import groups, kept_out, mix, raw, start, text_of
 
 MOST_TOXIC, MOST_CLEAN = 2_000, 4_000  # bounds of the learning sample
 BUCKETS = 1 << 16
@@ -35,7 +35,9 @@ START = 0.003
 SCALE = 60.0
 REST = 20.0
 REJECT_AT = 0.7
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+GROUP_LETTERS = 2_000_000
+GROUP_WORDS = 30_000
 
 _BLANKS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 
@@ -83,11 +85,12 @@ class Model:
     bias: float
 
     def of_words(self, vocabulary: list[bytes]) -> list[float]:
-        if not vocabulary:
-            return []
-        bucket, n = grams(vocabulary)
-        at = np.concatenate([[0], np.cumsum(n)[:-1]])
-        return (np.add.reduceat(self.value[bucket], at) / n).tolist()
+        out: list[float] = []
+        for lo in range(0, len(vocabulary), GROUP_WORDS):
+            bucket, n = grams(vocabulary[lo : lo + GROUP_WORDS])
+            at = np.concatenate([[0], np.cumsum(n)[:-1]])
+            out.extend((np.add.reduceat(self.value[bucket], at) / n).tolist())
+        return out
 
 
 def weighed(found: list[bytes]) -> tuple[list[bytes], np.ndarray, float]:
@@ -213,6 +216,10 @@ class Scorer:
         self.model, self.most, self.known = model, most, {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        some = [self._scored(texts[part]) for part in groups(texts, GROUP_LETTERS)]
+        return np.concatenate(some) if some else np.zeros(0)
+
+    def _scored(self, texts: list[str]) -> np.ndarray:
         cut = [weighed(words(t)) for t in texts]
         new = set().union(*(w for w, _, _ in cut)) - self.known.keys()
         if len(new) + len(self.known) > self.most:
