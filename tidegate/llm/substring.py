@@ -32,7 +32,7 @@ from tidegate.llm.common import start, windows, word_hashes, written
 
 WINDOW = 50
 PHRASE = 10
-BLOCK_BYTES = 10_000_000  # text in a reference block
+BLOCK_BYTES = 5_000_000  # text in a reference block
 ENTRIES_PER_PART = 2_000_000
 
 
@@ -52,16 +52,17 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> n
 
 
 class Block:
-    """All words of a reference block's documents, and where their windows start."""
+    """A reference block's documents and where their windows start; words are held one text at a time."""
 
     def __init__(self, ids: list[int | None], texts: list[bytes | None]):
         # Documents in order of their keys, those without one last.
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
-        self.rows, self.words = order, [words_of(texts[i]) for i in order]
+        self.rows = order
         self.ids = np.array([ids[i] if ids[i] is not None else np.iinfo(np.int64).max for i in order], dtype=np.int64)
         prints, mins, docs, starts = [], [], [], []
-        for n, words in enumerate(self.words):
-            if len(words) >= WINDOW and ids[order[n]] is not None:
+        for n, i in enumerate(order):
+            words = words_of(texts[i]) if ids[i] is not None else []
+            if len(words) >= WINDOW:
                 hashed = word_hashes(words)
                 prints.append(windows(hashed, WINDOW))
                 mins.append(anchors(hashed))
@@ -101,7 +102,7 @@ class Block:
 
     def factors(self, least: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """(start, end, reference) of each document's factors, by the greedy parse."""
-        out: list[list[tuple[int, int, int]]] = [[] for _ in self.words]
+        out: list[list[tuple[int, int, int]]] = [[] for _ in self.rows]
         hit = least < self.ids[self.docs]
         at = np.nonzero(hit)[0]
         if not len(at):
