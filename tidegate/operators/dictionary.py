@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.errors import ResourceError
-from tidegate.functions.plan import pinned
+from tidegate.functions.plan import computed
 from tidegate.operators.rules import LOWERED, with_matchable
 from tidegate.session import BROADCAST_ROWS, broadcast_if_small
 
@@ -23,10 +23,14 @@ _WORD_BOUNDED = "^[0-9a-z_](?s:.*[0-9a-z_])?$"
 
 
 def first_keywords_by_join(
-    prompts: DataFrame, banks: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS, salts: int = 16
+    prompts: DataFrame,
+    banks: DataFrame,
+    max_broadcast_rows: int = BROADCAST_ROWS,
+    salts: int = 16,
+    key: str = "prompt_id",
 ) -> DataFrame:
-    """``prompt_id`` plus one column per bank with its first keyword; prompts without any hit are
-    absent. ``prompt_id`` must be unique.
+    """The key plus one column per bank with its first keyword; prompts without any hit are
+    absent. Rows that share a key must share their text.
 
     ``banks`` has ``bank``, ``keyword``, ``folded`` and ``words``; all banks share one pass over the
     text. Up to ``max_broadcast_rows`` entries it is broadcast and nothing but the hits is
@@ -34,17 +38,17 @@ def first_keywords_by_join(
     that one n-gram found in a third of all prompts is spread out.
     """
     names, heads = _shape(banks)
-    grams = _grams(prompts, heads)
+    grams = _grams(prompts, heads, key)
     entries = banks.select(F.col("folded").alias("gram"), "bank", "keyword")
     entries, small = broadcast_if_small(entries, max_broadcast_rows)
     if small:
-        hits = _rows(grams).join(entries, "gram")
+        hits = _rows(grams, key).join(entries, "gram")
     else:
-        salted = _rows(_earliest(grams)).withColumn("salt", F.pmod(F.xxhash64("prompt_id"), F.lit(salts)).cast("int"))
+        salted = _rows(_earliest(grams), key).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
         copies = F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt")
         hits = salted.join(entries.select("*", copies), ["gram", "salt"])
     earliest = F.struct("start", -F.length("gram"))
-    return hits.groupBy("prompt_id").agg(
+    return hits.groupBy(key).agg(
         *[
             F.min_by("keyword", F.when(F.col("bank") == name, earliest)).alias(name)
             for name in names
@@ -77,10 +81,10 @@ def _shape(banks: DataFrame) -> tuple[list[str], dict[int, list[str] | None]]:
     return sorted({row["bank"] for row in rows}), heads
 
 
-def _grams(prompts: DataFrame, heads: dict[int, list[str] | None]) -> DataFrame:
-    """``prompt_id`` and the array ``g`` of run n-grams with their first run."""
+def _grams(prompts: DataFrame, heads: dict[int, list[str] | None], key: str) -> DataFrame:
+    """The key and the array ``g`` of run n-grams with their first run."""
     cut = F.regexp_extract_all(LOWERED, F.lit(_RUNS), F.lit(1))
-    runs = with_matchable(prompts).select("prompt_id", pinned(cut).alias("runs"))
+    runs = computed(with_matchable(prompts), runs=cut).select(key, "runs")
     first_word = F.when(F.col("runs")[0].rlike("^[0-9a-z_]"), 1).otherwise(2)
     starts = F.when(first_word <= F.size("runs"), F.sequence(first_word, F.size("runs"), F.lit(2)))
     runs = runs.withColumn("starts", F.coalesce(starts, F.array().cast("array<int>")))
@@ -99,7 +103,7 @@ def _grams(prompts: DataFrame, heads: dict[int, list[str] | None]) -> DataFrame:
         return F.transform(F.filter("starts", opens), gram)
 
     every = F.concat(*[of_length(words, first) for words, first in sorted(heads.items())])
-    return runs.select("prompt_id", pinned(every).alias("g"))
+    return computed(runs, g=every).select(key, "g")
 
 
 def _earliest(grams: DataFrame) -> DataFrame:
@@ -109,5 +113,5 @@ def _earliest(grams: DataFrame) -> DataFrame:
     return ordered.withColumn("g", fresh)
 
 
-def _rows(grams: DataFrame) -> DataFrame:
-    return grams.select("prompt_id", F.explode("g").alias("g")).select("prompt_id", "g.*")
+def _rows(grams: DataFrame, key: str) -> DataFrame:
+    return grams.select(key, F.explode("g").alias("g")).select(key, "g.*")

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.keywords import as_written, extract_all, extract_first, has_keyword
-from tidegate.functions.plan import pinned
+from tidegate.functions.plan import computed
 from tidegate.functions.text import ascii_folded
 from tidegate.model import CRISIS, MALIGN, RULE_STAGE, STAGE_RESULT, VALID
+from tidegate.session import broadcast_if_small
 from tidegate.sources.banks import Banks, KeywordBank, PatternBank
 
 LOWERED, FOLDED = "_lowered", "_folded"
@@ -100,7 +101,7 @@ def match_columns(df: DataFrame, **columns: Column) -> DataFrame:
     """Add matcher outputs to prompts, e.g. ``match_columns(p, hit=first_keyword(bank))``."""
     prepared = with_matchable(df)
     for name, column in columns.items():
-        prepared = prepared.withColumn(name, pinned(column))
+        prepared = computed(prepared, **{name: column})
     return _drop_matchable(prepared)
 
 
@@ -120,12 +121,9 @@ def keyword_hits(prompts: DataFrame, banks: Banks) -> DataFrame:
 
 
 def severity(hits: DataFrame, banks: Banks, keyword: str = "keyword", bank: str = "bank") -> DataFrame:
-    """Left equi-join of keyword hits with their category and level.
-
-    The banks here were parsed on the driver and were short enough for one expression each, so
-    their frame has a known, small size and is broadcast.
-    """
+    """Left equi-join of keyword hits with their category and level; the bank's frame is broadcast
+    only if its measured size allows."""
     side = banks.keyword_frame(hits.sparkSession).select(
         F.col("bank").alias(bank), F.col("keyword").alias(keyword), "category", "level"
     )
-    return hits.join(F.broadcast(side), [bank, keyword], "left")
+    return hits.join(broadcast_if_small(side)[0], [bank, keyword], "left")

@@ -22,19 +22,20 @@ from tidegate.operators.rules import (
     match_columns,
     severity,
 )
-from tidegate.operators.scoring import from_classifier, from_column, parse_json
+from tidegate.operators.scoring import attach_predictions, from_classifier, from_column, parse_json
 from tidegate.plans import seeds
 from tidegate.plans.chain import inspect, screen, stage_results
 from tidegate.plans.profiles import build
 from tidegate.plans.stages import (
     ColumnStage,
+    DictionaryRuleStage,
     ModelStage,
     PythonStage,
     RuleStage,
     attack_stage,
     semantic_stage,
 )
-from tidegate.session import ship
+from tidegate.session import BROADCAST_ROWS, ship
 from tidegate.sources.banks import Banks, keyword_frame
 from tidegate.sources.prompts import parse_requests
 from tidegate.streaming import jobs
@@ -47,6 +48,11 @@ def _accepted(spark: SparkSession, sf_dir: str, **extra: str) -> DataFrame:
     return intake.accepted(seeds.document_prompts(spark, sf_dir, **extra))
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text that is there, of any length: matching itself has no bound."""
+    return seeds.document_prompts(spark, sf_dir).where(F.col("text").isNotNull())
+
+
 # --- model predictions as columns ---------------------------------------------------------------
 
 _CLINICAL = f"""CASE {seeds.CLINICAL_SHAPE}
@@ -138,15 +144,15 @@ def correlation_id(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, column, name="hit"):
-    return match_columns(_accepted(spark, sf_dir), **{name: column}).select("prompt_id", name)
+    return match_columns(_whole(spark, sf_dir), **{name: column}).select("prompt_id", name)
 
 
 def pattern_first_hit(spark, sf_dir):
-    return _hits(spark, sf_dir, first_pattern(Banks.load().patterns.verify(spark)))
+    return _hits(spark, sf_dir, first_pattern(Banks.load().patterns))
 
 
 def pattern_all_hits(spark, sf_dir):
-    turns = intake.accepted(seeds.all_prompts(spark, sf_dir))
+    turns = seeds.all_prompts(spark, sf_dir).where(F.col("text").isNotNull())
     ids = F.concat(all_patterns(Banks.load().patterns), all_patterns(seeds.prose_patterns()))
     return match_columns(turns, hits=F.array_join(ids, ",")).select("prompt_id", "hits")
 
@@ -166,7 +172,7 @@ def keyword_all_hits(spark, sf_dir):
 def keyword_ngram_join(spark, sf_dir):
     shipped = Banks.load()
     banks = keyword_frame(spark, shipped.crisis, shipped.malign, seeds.prose_bank())
-    found = first_keywords_by_join(_accepted(spark, sf_dir), banks)
+    found = first_keywords_by_join(_whole(spark, sf_dir), banks)
     return found.select("prompt_id", "crisis", "malign", "prose")
 
 
@@ -177,18 +183,34 @@ def rule_stage(spark, sf_dir):
     )
 
 
+def _dictionary(spark, sf_dir, max_rows):
+    banks = Banks.load()
+    keywords = keyword_frame(spark, banks.crisis, banks.malign)
+    stage = DictionaryRuleStage(banks.patterns, keywords, max_broadcast_rows=max_rows)
+    return stage_results(_accepted(spark, sf_dir), [stage]).select("prompt_id", "label", "triggered_by")
+
+
+def dictionary_rule_stage(spark, sf_dir):
+    return _dictionary(spark, sf_dir, BROADCAST_ROWS)
+
+
+def dictionary_rule_shuffled(spark, sf_dir):
+    """The same with a bank too large to be broadcast."""
+    return _dictionary(spark, sf_dir, 0)
+
+
 def severity_enrichment(spark, sf_dir):
     banks = Banks.load()
-    return severity(keyword_hits(_accepted(spark, sf_dir), banks), banks)
+    return severity(keyword_hits(_whole(spark, sf_dir), banks), banks)
 
 
 def keyword_bank(spark, sf_dir):
-    return reports.keyword_usage(_accepted(spark, sf_dir), Banks.load())
+    return reports.keyword_usage(_whole(spark, sf_dir), Banks.load())
 
 
 def pattern_bank(spark, sf_dir):
     banks = Banks.load()
-    return reports.pattern_usage(_accepted(spark, sf_dir), banks).select("ord", "id", "pattern", "prompts")
+    return reports.pattern_usage(_whole(spark, sf_dir), banks).select("ord", "id", "pattern", "prompts")
 
 
 def bank_inventory(spark, sf_dir):
@@ -381,8 +403,8 @@ def merge_long(spark, sf_dir):
 
 def audit_all_stages(spark, sf_dir):
     """What precedence would say if blocking results did not stop the chain."""
-    rows = stage_results(_predicted(spark, sf_dir), _full_stages(), short_circuit=False)
-    return verdicts.merge_long(rows)
+    flat = verdicts.flat(screen(_predicted(spark, sf_dir), _full_stages(), short_circuit=False))
+    return flat.select("prompt_id", "code", "label", "stage", "triggered_by", "score")
 
 
 def fail_closed(spark, sf_dir):
@@ -409,6 +431,26 @@ def custom_stage(spark, sf_dir):
     return verdicts.flat(screen(_accepted(spark, sf_dir), stages)).select(*_FLAT)
 
 
+def verdicts_of_source(spark, sf_dir):
+    """A question about one source of a verdict table; its filter reaches the scan."""
+    return profile_default(spark, sf_dir).where(F.col("source") == "src3")
+
+
+def prediction_table(spark, sf_dir):
+    """Predictions that come as a table: given labels stand for a classifier's output, and a prompt
+    without one is a stage error."""
+    given = seeds.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("prompt_id"),
+        F.array(
+            F.struct(F.when(F.col("toxic") == 1, "toxic").otherwise("safe").alias("label"), F.lit(0.9).alias("score"))
+        ).alias("preds"),
+    )
+    joined = attach_predictions(_accepted(spark, sf_dir), given, "preds")
+    stage = semantic_stage(CLINICAL_MODEL, 0.75, predictions=from_column("preds"))
+    rows = stage_results(joined, [stage])
+    return rows.select("prompt_id", "label", F.col("error").isNotNull().alias("failed"))
+
+
 # --- sinks and traces ---------------------------------------------------------------------------
 
 
@@ -435,6 +477,23 @@ def trace_flat(spark, sf_dir):
     return tracing.flat_trace(_full_inspected(spark, sf_dir)).drop("duration_ms")
 
 
+def trace_json(spark, sf_dir):
+    """Fields of the inspect body, read back from the JSON."""
+    body = tracing.as_json(_full_inspected(spark, sf_dir))
+
+    def field(path):
+        return F.get_json_object("inspection", path)
+
+    return body.select(
+        "prompt_id",
+        field("$.final.code").cast("int").alias("code"),
+        field("$.final.label").alias("label"),
+        F.json_array_length(field("$.trace")).alias("executed"),
+        field("$.trace[0].label").alias("first_label"),
+        field("$.total_stages").cast("int").alias("total_stages"),
+    )
+
+
 def skipped_stages(spark, sf_dir):
     return tracing.flat_skipped(_full_inspected(spark, sf_dir))
 
@@ -503,7 +562,6 @@ def _document_stream(spark, sf_dir, text):
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "documents.parquet")
         .parquet(sf_dir)
-        .repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
     )
     return seeds.prompts_of(stream, text)
 
@@ -543,6 +601,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keyword_all_hits": keyword_all_hits,
     "keyword_ngram_join": keyword_ngram_join,
     "rule_stage": rule_stage,
+    "dictionary_rule_stage": dictionary_rule_stage,
+    "dictionary_rule_shuffled": dictionary_rule_shuffled,
     "severity_enrichment": severity_enrichment,
     "prediction_parse": prediction_parse,
     "label_normalise": label_normalise,
@@ -560,6 +620,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fail_closed": fail_closed,
     "custom_stage": custom_stage,
     "verdict_json": verdict_json,
+    "verdicts_of_source": verdicts_of_source,
+    "prediction_table": prediction_table,
+    "trace_json": trace_json,
     "trace_flat": trace_flat,
     "skipped_stages": skipped_stages,
     "fail_closed_trace": fail_closed_trace,

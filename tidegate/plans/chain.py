@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.functions.plan import pinned
+from tidegate.functions.plan import computed
 from tidegate.model import STAGE_ERROR
 from tidegate.operators import trace as tracing
 from tidegate.operators.verdict import merge_wide, verdict_columns
@@ -35,7 +35,7 @@ def run_stages(prompts: DataFrame, stages: Sequence[Stage], short_circuit: bool
     df = prompts.withColumns({_HALT: F.lit(False), _FAIL: F.lit(None).cast(STAGE_ERROR)})
     for order, stage in enumerate(stages):
         df = stage.evaluate(df, ~F.col(_HALT), _out(order))
-        df = df.withColumn(_out(order), pinned(F.col(_out(order))))
+        df = computed(df, **{_out(order): F.col(_out(order))})
         error = F.col(_out(order))["error"]
         stop = F.col(_HALT) | F.coalesce(error.isNotNull(), F.lit(False))
         if short_circuit:

@@ -102,15 +102,20 @@ def _accepted(relation: str) -> str:
         AND trim(text, {_BLANKS}) <> '')"""
 
 
-def _rules(relation: str) -> str:
-    """Accepted prompts with the rule stage's label and trigger."""
+def _whole(relation: str) -> str:
+    """Every text that is there, whole, as the matchers take it."""
+    return f"(SELECT *, lower(text) AS l FROM {relation} WHERE text IS NOT NULL)"
+
+
+def _rules(relation: str, texts=_accepted) -> str:
+    """Prompts with the rule stage's label and trigger."""
     bypass = " ".join(f"WHEN {_matches('l', p.pattern)} THEN '{p.id}'" for p in _BANKS.patterns.patterns)
     return f"""(SELECT *, CASE WHEN bp IS NOT NULL THEN 'Malign' WHEN ck IS NOT NULL THEN 'Crisis'
             WHEN mk IS NOT NULL THEN 'Malign' ELSE 'Valid' END AS rl,
         CASE WHEN bp IS NOT NULL THEN 'bypass:' || bp WHEN ck IS NOT NULL THEN 'keyword:' || ck
             WHEN mk IS NOT NULL THEN 'keyword:' || mk END AS rt
         FROM (SELECT *, CASE {bypass} END AS bp, {_first_keyword('l', _BANKS.crisis)} AS ck,
-            {_first_keyword('l', _BANKS.malign)} AS mk FROM {_accepted(relation)}))"""
+            {_first_keyword('l', _BANKS.malign)} AS mk FROM {texts(relation)}))"""
 
 
 _CODE = "CASE {} WHEN 'Valid' THEN 100 WHEN 'Malign' THEN 400 WHEN 'Crisis' THEN 406 ELSE 500 END"
@@ -248,7 +253,7 @@ def _usage() -> str:
         for bank in (_BANKS.crisis, _BANKS.malign)
         for e in bank.entries
     )
-    return f"""WITH found AS (SELECT prompt_id, {lists} FROM {_accepted(_docs())}),
+    return f"""WITH found AS (SELECT prompt_id, {lists} FROM {_whole(_docs())}),
         hits AS (SELECT prompt_id, 'crisis' AS bank, unnest(crisis) AS keyword FROM found
             UNION ALL SELECT prompt_id, 'malign', unnest(malign) FROM found),
         bank AS (SELECT bank, category, CAST(level AS INTEGER) AS level, keyword
@@ -264,7 +269,7 @@ def _pattern_usage() -> str:
             count(*) FILTER (WHERE {_matches('l', p.pattern)}) AS prompts FROM a"""
         for i, p in enumerate(_BANKS.patterns.patterns)
     )
-    return f"WITH a AS (SELECT l FROM {_accepted(_docs())}) {rows}"
+    return f"WITH a AS (SELECT l FROM {_whole(_docs())}) {rows}"
 
 
 def _all_patterns() -> str:
@@ -272,7 +277,7 @@ def _all_patterns() -> str:
         f"CASE WHEN {_matches('l', p.pattern)} THEN '{p.id}' END"
         for p in (*_BANKS.patterns.patterns, *seeds.prose_patterns().patterns)
     )
-    return f"""SELECT prompt_id, concat_ws(',', {ids}) AS hits FROM {_accepted(_EVERYTHING)}"""
+    return f"""SELECT prompt_id, concat_ws(',', {ids}) AS hits FROM {_whole(_EVERYTHING)}"""
 
 
 _RAW = f"""(SELECT CAST(doc_id AS VARCHAR) AS prompt_id, {seeds.CLINICAL_LABEL} AS raw_label,
@@ -388,17 +393,27 @@ ORACLES: dict[str, str] = {
     "bank_inventory": _usage() + """SELECT bank, category, max(level) AS level, count(DISTINCT keyword) AS keywords,
         count(*) FILTER (WHERE prompts > 0) AS keywords_hit, CAST(sum(prompts) AS BIGINT) AS hits
         FROM usage GROUP BY bank, category""",
-    "pattern_first_hit": f"SELECT prompt_id, bp AS hit FROM {_rules(_docs())}",
+    "pattern_first_hit": f"SELECT prompt_id, bp AS hit FROM {_rules(_docs(), _whole)}",
     "pattern_all_hits": _all_patterns(),
-    "crisis_first_hit": f"SELECT prompt_id, ck AS hit FROM {_rules(_docs())}",
-    "malign_first_hit": f"SELECT prompt_id, mk AS hit FROM {_rules(_docs())}",
+    "crisis_first_hit": f"SELECT prompt_id, ck AS hit FROM {_rules(_docs(), _whole)}",
+    "malign_first_hit": f"SELECT prompt_id, mk AS hit FROM {_rules(_docs(), _whole)}",
     "keyword_all_hits": f"""SELECT prompt_id, array_to_string({_all_keywords('l', seeds.prose_bank())}, '|') AS hits
-        FROM {_accepted(_docs())}""",
+        FROM {_whole(_docs())}""",
     "keyword_ngram_join": f"""SELECT * FROM (SELECT prompt_id, ck AS crisis, mk AS malign,
-        {_first_keyword('l', seeds.prose_bank())} AS prose FROM {_rules(_docs())})
+        {_first_keyword('l', seeds.prose_bank())} AS prose FROM {_rules(_docs(), _whole)})
         WHERE crisis IS NOT NULL OR malign IS NOT NULL OR prose IS NOT NULL""",
     "rule_stage": f"""SELECT prompt_id, 'deterministic' AS stage_name, rl AS label, CAST(1 AS DOUBLE) AS confidence,
         rt AS triggered_by, rl <> 'Valid' AS short_circuit FROM {_rules(_docs())}""",
+    "dictionary_rule_stage": f"""SELECT prompt_id, rl AS label, rt AS triggered_by FROM {_rules(_docs())}""",
+    "dictionary_rule_shuffled": f"""SELECT prompt_id, rl AS label, rt AS triggered_by FROM {_rules(_docs())}""",
+    "verdicts_of_source": f"""SELECT prompt_id, source, code, label, stage, triggered_by, score FROM {_default()}
+        WHERE source = 'src3'""",
+    "prediction_table": f"""SELECT d.prompt_id, CASE WHEN l.toxic = 1 THEN 'Malign' WHEN l.toxic = 0 THEN 'Valid' END AS label,
+        CASE WHEN l.toxic IS NULL THEN true ELSE false END AS failed
+        FROM {_accepted(_docs())} d LEFT JOIN labels l ON CAST(l.doc_id AS VARCHAR) = d.prompt_id""",
+    "trace_json": f"""WITH t AS ({_TRACE}) SELECT f.prompt_id, f.code, f.label, coalesce(max(t.ord) + 1, 0)::INTEGER AS executed,
+        max(CASE WHEN t.ord = 0 THEN t.label END) AS first_label, CAST(3 AS INTEGER) AS total_stages
+        FROM ({_FLAT + _verdict(_modelled())}) f LEFT JOIN t USING (prompt_id) GROUP BY f.prompt_id, f.code, f.label""",
     "severity_enrichment": _usage() + """SELECT h.bank, h.keyword, h.prompt_id, b.category, b.level
         FROM hits h LEFT JOIN bank b ON b.bank = h.bank AND b.keyword = h.keyword""",
     "prediction_parse": _PARSE,

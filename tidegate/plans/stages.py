@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,7 @@ from tidegate.operators.rules import (
     with_matchable,
 )
 from tidegate.operators.scoring import PredictionSource, custom_outcomes, from_classifier
+from tidegate.session import BROADCAST_ROWS
 from tidegate.sources.banks import Banks, PatternBank
 
 OUTCOME = T.StructType(
@@ -98,22 +99,25 @@ class DictionaryRuleStage:
     """The rule stage for banks too large for one expression: keywords are found by joins.
 
     ``keywords`` is a table with ``bank`` (crisis or malign), ``keyword``, ``folded`` and ``words``.
-    Needs a unique ``prompt_id``. One join carries the hits, never text, back to the prompts.
+    Hits depend on the text alone, so they come back by its SHA-256: null and repeated prompt ids
+    get what their own text says, and a text that many prompts share is looked up as one.
     """
 
     patterns: PatternBank
     keywords: DataFrame
     name: str = RULE_STAGE
+    max_broadcast_rows: int = BROADCAST_ROWS
 
     def evaluate(self, df: DataFrame, active: Column, out: str) -> DataFrame:
-        prompts = df.where(active).select("prompt_id", "text")
+        df = df.withColumn("_digest", F.sha2(F.col("text").cast("binary"), 256))
+        prompts = df.where(active).select("_digest", "text")
         found = with_matchable(df.withColumn("_active", active), F.when(active, F.col("text")))
         found = found.withColumn("_pattern", first_pattern(self.patterns)).drop(LOWERED, FOLDED)
-        hits = first_keywords_by_join(prompts, self.keywords)
+        hits = first_keywords_by_join(prompts, self.keywords, self.max_broadcast_rows, key="_digest")
         for bank in ("crisis", "malign"):
             first = F.col(bank) if bank in hits.columns else F.lit(None).cast("string")
             hits = hits.withColumn(f"_{bank}", first).drop(bank)
-        found = found.join(hits, "prompt_id", "left")
+        found = found.join(hits, "_digest", "left").drop("_digest")
 
         def hit(label: str, trigger: Column) -> Column:
             return F.struct(F.lit(label).alias("label"), trigger.alias("triggered_by"))
@@ -230,7 +234,10 @@ def _custom_outcome(stage: str, made: Column, failure: Column | None = None,
 
 def rule_stage(crisis: str | None = None, malign: str | None = None,
                patterns: str | None = None) -> RuleStage:
-    return RuleStage(Banks.load(crisis, malign, patterns))
+    banks = Banks.load(crisis, malign, patterns)
+    if (spark := SparkSession.getActiveSession()) is not None and patterns is not None:
+        banks.patterns.verify(spark)  # the user's own patterns, before any real job
+    return RuleStage(banks)
 
 
 def semantic_stage(model_id: str, threshold: float, timeout_s: float | None = 10,
@@ -250,6 +257,8 @@ def attack_stage(model_id: str = INJECTION_MODEL, threshold: float = INJECTION_T
 
 
 def _model_stage(name, model_id, threshold, timeout_s, labels, predictions, factory) -> ModelStage:
+    if wrong := sorted(set(labels.values()) - set(LABELS)):
+        raise ValueError(f"{name}: labels map to {wrong}, which are none of {list(LABELS)}")
     if predictions is None:
         chosen = {} if factory is None else {"factory": factory}
         predictions = from_classifier(model_id=model_id, timeout_s=timeout_s, **chosen)

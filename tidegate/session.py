@@ -78,6 +78,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_tidegate_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not os.path.isdir(root):  # the package came in an archive, which the workers have as well
+        context._tidegate_shipped = True
+        return
     archive = os.path.join(tempfile.mkdtemp(prefix="tidegate-"), "tidegate")
     context.addPyFile(shutil.make_archive(archive, "zip", root, "tidegate"))
     context._tidegate_shipped = True

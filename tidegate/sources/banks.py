@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 from importlib import resources
+from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
@@ -22,16 +23,17 @@ from tidegate.functions.patterns import JvmPattern, to_jvm
 from tidegate.model import KEYWORD_ROW, PATTERN_ROW
 
 
-def packaged(name: str) -> str:
-    """Path of a file shipped in ``tidegate/resources``."""
-    return str(resources.files("tidegate") / "resources" / name)
+def packaged(name: str) -> Any:
+    """A file shipped in ``tidegate/resources``, also where the package is in an archive."""
+    return resources.files("tidegate").joinpath("resources", *name.split("/"))
 
 
-def load_yaml(path: str) -> Any:
+def load_yaml(path: Any) -> Any:
+    """A YAML document from a path or a packaged file."""
     try:
-        with open(path, encoding="utf-8") as handle:
-            return yaml.safe_load(handle)
-    except (OSError, UnicodeDecodeError, yaml.YAMLError) as exc:
+        source = path if hasattr(path, "read_text") else Path(path)
+        return yaml.safe_load(source.read_text(encoding="utf-8"))
+    except (OSError, KeyError, UnicodeDecodeError, yaml.YAMLError) as exc:
         raise ResourceError(str(path), exc) from exc
 
 
@@ -162,11 +164,18 @@ class PatternBank:
 
     def verify(self, spark: SparkSession) -> PatternBank:
         """Let the JVM compile every pattern on one empty row before any real job starts."""
-        for item in self.patterns:
-            try:
-                spark.range(1).select(F.lit("").rlike(item.jvm.regex)).collect()
-            except Exception as exc:
-                raise ResourceError(f"pattern {item.id}", exc) from exc
+        tests = [F.lit("").rlike(item.jvm.regex).alias(f"p{i}") for i, item in enumerate(self.patterns)]
+        if not tests:
+            return self
+        try:
+            spark.range(1).select(*tests).collect()
+        except Exception as exc:
+            for item, test in zip(self.patterns, tests, strict=True):
+                try:
+                    spark.range(1).select(test).collect()
+                except Exception as own:
+                    raise ResourceError(f"pattern {item.id}", own) from own
+            raise ResourceError("pattern bank", exc) from exc
         return self
 
     def frame(self, spark: SparkSession) -> DataFrame:

@@ -11,15 +11,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidegate.operators.intake import accepted
 from tidegate.operators.reports import verdict_counts
 from tidegate.plans.chain import screen
 from tidegate.plans.stages import Stage
 from tidegate.session import shared_dir
-from tidegate.sources.sinks import write_intake
+from tidegate.sources.sinks import split_outcomes, write_intake
 
 
 def _run(writer: Any, home: str, trigger: dict[str, Any] | None) -> None:
@@ -29,6 +30,12 @@ def _run(writer: Any, home: str, trigger: dict[str, Any] | None) -> None:
     query.awaitTermination()
 
 
+def _made(spark: SparkSession, path: str) -> None:
+    """Create a table's folder, for streams that had nothing to write."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def screen_to_table(prompts: DataFrame, stages: Sequence[Stage], home: str | None = None,
                     trigger: dict[str, Any] | None = None) -> DataFrame:
     """Validate and screen a prompt stream into a parquet table; returns that table."""
@@ -54,20 +61,27 @@ def split_to_tables(prompts: DataFrame, home: str | None = None,
         write_intake(batch, f"{home}/rows/batch={number}", "overwrite")
 
     _run(prompts.writeStream.foreachBatch(write), home, trigger)
-    rows = spark.read.option("basePath", f"{home}/rows").parquet(f"{home}/rows").drop("batch")
+    _made(spark, f"{home}/rows")
+    shape = split_outcomes(prompts).schema.add("batch", "long")
+    rows = spark.read.schema(shape).option("basePath", f"{home}/rows").parquet(f"{home}/rows").drop("batch")
     accepted_rows = rows.where(F.col("outcome") == "accepted").drop("outcome", "reject_reason")
     return accepted_rows, rows.where(F.col("outcome") == "rejected").drop("outcome")
 
 
 def count_to_table(prompts: DataFrame, stages: Sequence[Stage], *dimensions: str,
                    home: str | None = None, trigger: dict[str, Any] | None = None) -> DataFrame:
-    """Running verdict counts; each micro-batch replaces the small result table."""
+    """Running verdict counts. Each micro-batch writes all counts under its own number, and the last
+    number is the result, so neither a reader nor a crash ever meets half a table."""
     spark = prompts.sparkSession
     home = home or shared_dir(spark, "counts")
     counts = verdict_counts(screen(accepted(prompts), stages), *dimensions)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{home}/counts")
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{home}/counts/batch={number}")
 
     _run(counts.writeStream.outputMode("complete").foreachBatch(write), home, trigger)
-    return spark.read.schema(counts.schema).parquet(f"{home}/counts")
+    _made(spark, f"{home}/counts")
+    shape = StructType([*counts.schema.fields, StructField("batch", LongType())])
+    every = spark.read.schema(shape).option("basePath", f"{home}/counts").parquet(f"{home}/counts")
+    last = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == F.lit(last)).drop("batch")
