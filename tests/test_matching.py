@@ -190,6 +190,7 @@ PATTERNS = [
     r"(?m)^b", r"(?m)a$", r"(?:a|b)+c", r"(?<=a)b", r"(?<!a)b", r"(?=an)a", r"(?!an)a", r"[]a]b", r"[&&a]b", r"a\{b",
     r"s\+", r"É", r"ſ", r"[ſ]x", r"strasse", r"[A-Z]9", r"[^k]9", r"(?x) a  b # c", r"a(?#note)b", r"(?>an)d", r"a++b",
     r"\x41b", r"Ab", r"\.b", r"µ", r"[\d.]b", r"[\W\d]b", r"σ", r"k9",
+    r"[\W\d]+b", r"[\s\S]*9", r"[\S ]+?c", r"[^\W\d]+b", r"(?:an|9a)+ ", r"(?:dan|c|b)*9", r"(s|k|9a)+b", r"(?:\w+ ){0,3}b",
 ]
 
 
@@ -216,7 +217,22 @@ def test_guards_are_implied_by_every_match():
             assert any(literal in text for literal in clause)
 
 
-@pytest.mark.parametrize("pattern", ["(a", "[", "(?a)x", "(?-i:x)", r"(a)?(?(1)b|c)", "*"])
+LONG = ["abba" * 2000, "abba" * 2000 + "zz", "-9" * 4000 + "b", "ab " * 3000 + "x"]
+
+
+def test_long_texts_do_not_end_the_stack(spark):
+    patterns = [r"(?:ab|ba|cd)+zz", r"(?:ab|ba)+?z", r"[\W\d]+b", r"[\s\S]*x", r"(?:ab)+zz", r"(?>\w+ )++x"]
+    bank = PatternBank.from_mapping({"patterns": [{"id": str(i), "pattern": p} for i, p in enumerate(patterns)]})
+    frame = spark.createDataFrame(list(enumerate(LONG)), "prompt_id int, text string")
+    got = {r.prompt_id: r.ids for r in match_columns(frame, ids=all_patterns(bank)).collect()}
+    for i, text in enumerate(LONG):
+        assert got[i] == [str(n) for n, p in enumerate(patterns) if re.search(p, text)]
+
+
+@pytest.mark.parametrize("pattern", [
+    "(a", "[", "(?a)x", "(?-i:x)", r"(a)?(?(1)b|c)", "*",
+    # groups with several ways that repeat without a bound
+    r"(?:\w+ )*b", r"(?:ab|a)+c", r"(?:ab|cd)+a", r"(?:ab|cd)+\b", r"(?:ab|cd){0,101}$", r"((?:ab|cd)+)z"])
 def test_unusable_patterns_are_load_errors(pattern):
     with pytest.raises(ResourceError, match="P9"):
         PatternBank.from_mapping({"patterns": [{"id": "P9", "pattern": pattern}]})

@@ -60,6 +60,7 @@ _COMPLEMENTS = {sre.CATEGORY_NOT_SPACE: f"[^{_SPACE}]", sre.CATEGORY_NOT_WORD: f
 _BOUNDARY = (sre.AT, sre.AT_BOUNDARY)
 _SINGLE = (sre.LITERAL, sre.NOT_LITERAL, sre.ANY, sre.IN)
 _REPEATS = {sre.MAX_REPEAT: "", sre.MIN_REPEAT: "?", sre.POSSESSIVE_REPEAT: "+"}
+_DEEP = 100  # rounds of a group with several ways that any stack has room for
 
 
 @dataclass(frozen=True)
@@ -121,6 +122,52 @@ def _range_folds(low: int, high: int) -> bool:
     return not letters or (letters == span and len({ch.islower() for ch in letters}) == 1)
 
 
+def _steady(items) -> bool:
+    """Whether ``items`` match in one way at most, of one length."""
+    for op, arg in items:
+        if op is sre.SUBPATTERN:
+            ok = _steady(arg[3])
+        elif op in _REPEATS:
+            ok = arg[0] == arg[1] and _steady(arg[2])
+        else:
+            ok = op in _SINGLE or op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT)
+        if not ok:
+            return False
+    return True
+
+
+def _spellings(items, most: int = 200) -> set[str] | None:
+    """All texts that ``items`` stand for, if they are plain ASCII and not many."""
+    out = {""}
+    for op, arg in items:
+        if op is sre.LITERAL:
+            ways = {chr(arg).lower()}
+        elif op is sre.IN and all(kind is sre.LITERAL for kind, _ in arg):
+            ways = {chr(code).lower() for _, code in arg}
+        elif op is sre.SUBPATTERN:
+            ways = _spellings(arg[3], most)
+        elif op is sre.BRANCH:
+            each = [_spellings(choice, most) for choice in arg[1]]
+            ways = None if None in each else set().union(*each)
+        else:
+            ways = None
+        if ways is None or not all(way.isascii() for way in ways) or len(out) * len(ways) > most:
+            return None
+        out = {head + tail for head in out for tail in ways}
+    return out
+
+
+def _one_way(items, after) -> bool:
+    """Whether a repeat of ``items`` before ``after`` never has to give back a round: no spelling
+    opens another one, and what comes after starts with none of their first letters."""
+    rounds, then = _spellings(items), _spellings([after]) if after[0] is not None else None
+    if not rounds or not then or "" in rounds or "" in then:
+        return False
+    if any(a != b and b.startswith(a) for a in rounds for b in rounds):
+        return False
+    return {way[0] for way in rounds}.isdisjoint(way[0] for way in then)
+
+
 def _is_word(item) -> bool:
     return item[0] is sre.LITERAL and (chr(item[1]).isalnum() or item[1] == ord("_"))
 
@@ -148,15 +195,27 @@ class _Writer:
                 char = self.char(arg, fold)
                 out.append(f"{char}(?<!{_BEHIND}{char})")
             else:
-                out.append(self.node(op, arg, flags, fold))
+                out.append(self.node(op, arg, flags, fold, after))
         return "".join(out)
 
+    def kind(self, op, low, high, items, after) -> str:
+        """How a repeat is marked. The JVM's matcher goes one level deeper with every round of a group
+        that can match in several ways, until its stack ends; possessive repeats do not."""
+        if op is sre.POSSESSIVE_REPEAT or _steady(items) or high is not sre.MAXREPEAT and high <= _DEEP:
+            return _REPEATS[op]
+        if _one_way(items, after):
+            return "+"
+        raise ResourceError(
+            f"pattern {self.name} (a group that can match in several ways repeats without a bound: "
+            f"bound it by {_DEEP} or less, or make the repeat possessive)"
+        )
+
     def char(self, code: int, fold: bool) -> str:
         if code > 127:
             self.foldable = False
         return _literal(ord(chr(code).lower()) if fold else code)
 
-    def node(self, op, arg, flags: int, fold: bool) -> str:
+    def node(self, op, arg, flags: int, fold: bool, after=(None, None)) -> str:
         def inner(items):
             return self.sequence(items, flags, fold)
 
@@ -182,7 +241,7 @@ class _Writer:
             body = inner(items)
             # A lone character or class needs no group, and repeats faster without one.
             single = len(items) == 1 and items[0][0] in _SINGLE and not body.startswith("(")
-            return (body if single else f"(?:{body})") + bound + _REPEATS[op]
+            return (body if single else f"(?:{body})") + bound + self.kind(op, low, high, items, after)
         if op is sre.ATOMIC_GROUP:
             return f"(?>{inner(arg)})"
         if op is sre.AT:
@@ -211,8 +270,8 @@ class _Writer:
                 members.append(_MEMBERS[arg])
         if not complements:
             return f"[{'^' if negate else ''}{''.join(members)}]"
-        choices = complements + ([f"[{''.join(members)}]"] if members else [])
-        union = "(?:" + "|".join(choices) + ")"
+        # A union of classes is a class: repeated, it takes no stack, as an alternation would.
+        union = "[" + "".join(complements + members) + "]"
         return f"(?:(?!{union}){_ANY})" if negate else union
 
 
