@@ -52,6 +52,19 @@ def test_load_failure_marks_rows(prompts):
     assert error.type == "ResourceError" and "no weights" in error.message
 
 
+def test_a_function_factory_loads_once_a_worker(prompts, tmp_path):
+    folder = str(tmp_path)
+
+    def factory(task, model, truncation):
+        open(os.path.join(folder, f"{os.getpid()}-{time.time_ns()}"), "w").close()
+        return lambda text: [{"label": "LABEL_0", "score": 0.9}]
+
+    frame = prompts(*[f"day {i}" for i in range(64)]).repartition(32)
+    assert len(stage_results(frame, [semantic_stage("m", 0.5, factory=factory)]).collect()) == 64
+    workers = [name.split("-")[0] for name in os.listdir(folder)]
+    assert workers and len(workers) == len(set(workers))
+
+
 def test_default_classifier_needs_its_library(prompts):
     row = stage_results(prompts("a"), [semantic_stage("m", 0.5)]).first()
     assert row.error.type == "ResourceError"

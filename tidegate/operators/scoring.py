@@ -11,6 +11,7 @@ from __future__ import annotations
 import queue
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -24,8 +25,9 @@ from tidegate.model import CUSTOM_OUTCOME, SCORED
 PredictionSource = Callable[[DataFrame, Column], tuple[DataFrame, Column]]
 CHUNK_ROWS = 32
 
-# One loaded model per (factory, model) in each Python worker process.
-_loaded: dict[tuple[Any, str], Any] = {}
+# Loaded models of a Python worker process, by the token of their prediction source; the last few.
+_loaded: dict[str, Any] = {}
+KEPT_MODELS = 4
 
 
 # --- predictions that already exist as a column -------------------------------------------------
@@ -210,11 +212,14 @@ def _ms(start: float) -> float:
     return round((time.perf_counter() - start) * 1000, 3)
 
 
-def _load(factory: Callable[..., Any], model_id: str) -> Any:
-    key = (factory, model_id)
-    if key not in _loaded:
-        _loaded[key] = factory("text-classification", model=model_id, truncation=True)
-    return _loaded[key]
+def _load(token: str, factory: Callable[..., Any], model_id: str) -> Any:
+    model = _loaded.pop(token, None)
+    if model is None:
+        model = factory("text-classification", model=model_id, truncation=True)
+    while len(_loaded) >= KEPT_MODELS:
+        del _loaded[next(iter(_loaded))]  # the one not used for longest
+    _loaded[token] = model
+    return model
 
 
 def from_classifier(
@@ -223,17 +228,20 @@ def from_classifier(
     timeout_s: float | None = 10.0,
     chunk_rows: int = CHUNK_ROWS,
 ) -> PredictionSource:
-    """Score with ``factory(task, model=, truncation=)``, a picklable, hashable callable.
+    """Score with ``factory(task, model=, truncation=)``, a picklable callable.
 
-    The model is loaded on first use and kept for the worker process. Load failures and scoring
+    The model is loaded on first use and kept for the worker process under a token made here, as a
+    function that travels by value is a new object in every task. Load failures and scoring
     failures mark rows; they never fail the task.
     """
 
+    token = uuid.uuid4().hex
+
     def rows_of(texts: list[str]) -> list[tuple]:
         if not texts:
             return []
         try:
-            scorer = _ChunkScorer(_load(factory, model_id), timeout_s, chunk_rows)
+            scorer = _ChunkScorer(_load(token, factory, model_id), timeout_s, chunk_rows)
         except Exception as exc:
             return [(*_failed(ResourceError(model_id, exc)), None)] * len(texts)
         return scorer.score(texts)
