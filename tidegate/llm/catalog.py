@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, caps, jaccard, language, packing, preference, resample, substring, topk, toxicity, warc
+from tidegate.llm import bpe, caps, jaccard, language, packing, preference, resample, substring, topk, toxicity, trie, warc
 from tidegate.llm.common import start, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(start(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(start(spark), sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -73,9 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_revisit": op9_warc_revisit,
     "op10_language_id": op10_language_id,
     "op11_resample": op11_resample,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op3_preference": preference.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
     "op9_warc_revisit": """
         WITH p AS (
             SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages
