@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, caps, jaccard, language, packing, preference, resample, substring, topk, toxicity, trie, warc
+from tidegate.llm import bpe, caps, intervals, jaccard, language, packing, preference, resample, substring, topk, toxicity, trie, warc
 from tidegate.llm.common import start, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +65,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(start(spark), sf_dir, "conversations"))
 
 
+def op13_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.digests(table(start(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_resample": op11_resample,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_interval_expansion": op13_interval_expansion,
 }
 ORACLES: dict[str, str] = {
     "op3_preference": preference.ORACLE,
