@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -366,15 +367,40 @@ def _anchors_repeated(table: pa.Table) -> pa.Table:
     return _arrow(rows, _REPEATED)
 
 
-def _in_order(table: pa.Table) -> tuple[list[int], list[bytes | None], list[int]]:
-    """Keys and texts of a block's rows, in an order that no shuffle changes, and their numbers in the table.
+_PACKED = "block long, docs binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, key, text) rows packed by block: whole texts go through two shuffles, and small."""
+    deflate = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        blocks = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+        keys = np.array(batch.column(1).to_pylist(), dtype="<i8")
+        texts = [text or b"" for text in raw(batch, "text")]
+        lengths = np.array([len(text) for text in texts], dtype="<i8")
+        cells = []
+        for block, at in _cut(np.arange(len(blocks)), blocks):
+            head = np.array([len(at)], dtype="<i8").tobytes() + keys[at].tobytes() + lengths[at].tobytes()
+            cells.append((block, deflate.compress(head + b"".join([texts[i] for i in at.tolist()]))))
+        yield from _arrow(cells, _PACKED).to_batches()
+
+
+def _in_order(table: pa.Table) -> tuple[list[int], list[bytes]]:
+    """Keys and texts of a block's rows in an order that no shuffle changes: a row is known by its number.
 
     Equal rows come out alike, so it does not matter which of them has which number.
     """
-    keys = table.column("key").to_pylist()
-    texts = table.column("text").cast(pa.binary()).to_pylist()
-    order = sorted(range(len(keys)), key=lambda i: (keys[i], texts[i] or b""))
-    return [keys[i] for i in order], [texts[i] for i in order], order
+    rows = []
+    for cell in table.column("docs").to_pylist():
+        cell = zstandard.decompress(cell)
+        n = int.from_bytes(cell[:8], "little")
+        keys, lengths = (np.frombuffer(cell, dtype="<i8", count=n, offset=8 + 8 * n * k).tolist() for k in (0, 1))
+        at = 8 + 16 * n
+        for key, length in zip(keys, lengths, strict=True):
+            rows.append((key, cell[at : at + length]))
+            at += length
+    rows.sort()
+    return [key for key, _ in rows], [text for _, text in rows]
 
 
 _SENT = "bucket long, block long, anchors binary, keys binary, rows binary, starts binary, ns binary, bytes binary"
@@ -407,7 +433,7 @@ def _pieces_sent(buckets: int):
         block = shared.column("block")[0].as_py()
         order = np.argsort(anchors)
         anchors, hot = anchors[order], hot[order]
-        keys, texts, _ = _in_order(docs)
+        keys, texts = _in_order(docs)
         keys = np.array(keys, dtype=np.int64)
         seen: dict[bytes, tuple[int, int]] = {}
         out: list[tuple] = []
@@ -487,12 +513,11 @@ _KEPT = "key long, kept binary, n_bytes long, n_removed long, n_spans long"
 
 def _kept(docs: pa.Table, gone: pa.Table) -> pa.Table:
     """A block's rows without the bytes that a window which goes covers."""
-    keys, texts, _ = _in_order(docs)
+    keys, texts = _in_order(docs)
     rows, begins, ns = (_unpacked(gone, n, k) for n, k in (("rows", "<i4"), ("starts", "<i8"), ("ns", "<i4")))
     by_row = dict(_cut(np.arange(len(rows)), rows))
     out = []
     for i, (key, text) in enumerate(zip(keys, texts, strict=True)):
-        text = text or b""
         spans: list[list[int]] = []
         at = by_row.get(i, np.zeros(0, dtype=np.int64))
         for begin, end in sorted(zip(begins[at].tolist(), (begins[at] + ns[at] + LENGTH - 1).tolist(), strict=True)):
@@ -518,10 +543,10 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     shared = written(met.groupBy("bucket").applyInArrow(_anchors_repeated, _REPEATED), "shared-anchors")
     n = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     indexes = 1 + n * (LENGTH + 35) // INDEX_BYTES
-    by_block = dealt.groupBy("block")
-    sent = by_block.cogroup(shared.groupBy("block")).applyInArrow(_pieces_sent(indexes), _SENT)
+    packed = dealt.mapInArrow(_packed, _PACKED)
+    sent = packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_pieces_sent(indexes), _SENT)
     gone = written(sent.groupBy("bucket").applyInArrow(_index, _GONE), "windows-gone")
-    kept = dealt.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_kept, _KEPT)
+    kept = packed.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(_kept, _KEPT)
     none = F.lit(0).cast("long")
     keyless = rows.where(F.col("key").isNull()).select(
         "key",
