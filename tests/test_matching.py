@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.errors import ResourceError
 from tidegate.functions.patterns import to_jvm
-from tidegate.operators.dictionary import first_keywords_by_join
+from tidegate.operators.dictionary import first_keywords, first_keywords_by_join
 from tidegate.operators import dictionary
 from tidegate.operators.rules import (
     all_keywords,
@@ -20,7 +20,7 @@ from tidegate.operators.rules import (
 from tidegate.plans.chain import stage_results
 from tidegate.plans.stages import DictionaryRuleStage, RuleStage
 from tidegate.session import broadcast_if_small
-from tidegate.sources.banks import Banks, Keyword, KeywordBank, PatternBank
+from tidegate.sources.banks import Banks, Keyword, KeywordBank, PatternBank, keyword_frame
 
 SEPARATORS = [" ", "  ", "\t", "\n", "\r", "\x0b", "\x1f", "\x85", " ", " ", "　", "-", "_",
               "'", "’", ".", "é", "́", "ſ", "ı", "İ", "K", "9", "", "ß", "Σ"]
@@ -134,19 +134,77 @@ def test_dictionary_join_against_brute_force(spark, prompts, banks, monkeypatch,
         assert got.get(f"p{i:05d}", (None, None)) == want, text
 
 
-def test_dictionary_rule_stage_equals_rule_stage(spark, prompts, banks):
+ODD = {
+    "a": ["kill", "kill you", "Kill  you now", "(self-harm)", "self-harm", "self harm", "-dash", "?!", "dash-", "a.b",
+          "it's", "back\\slash", "\U0001f600", "\U0001f600 x", "привет", "_x", "x", "?", "x?", "o'b 'q"],
+    "b": ["you", "now (", "(now", "!!", "a  b c", "ki"],
+}
+ODD_PIECES = ["kill", "you", "now", "Kill", "self", "harm", "-", "(", ")", "dash", "?", "!", "!!", " ", "  ", "a", "b", "c",
+              ".", "'", "s", "it", "back", "\\", "slash", "\U0001f600", "x", "привет", "_x", "\n", "é", "o'b 'q", "ki"]
+
+
+def odd_texts(n):
+    rng = random.Random(3)
+    return ["".join(rng.choice(ODD_PIECES) for _ in range(rng.randrange(12))) for _ in range(n)]
+
+
+def odd_frame(spark, wordless=True):
+    banks = {name: [k for k in words if wordless or re.search("[0-9a-z_]", k, re.I)] for name, words in ODD.items()}
+    frames = [KeywordBank.of(name, [Keyword("c", None, k) for k in words]) for name, words in banks.items()]
+    return banks, keyword_frame(spark, *frames)
+
+
+def test_dictionary_takes_any_keyword(spark, prompts):
+    texts = odd_texts(4000)
+    banks, frame = odd_frame(spark)
+    got = {r.prompt_id: (r.a, r.b) for r in first_keywords(prompts(*texts, None), frame).collect()}
+    for i, text in enumerate(texts):
+        want = tuple((keyword_hits(text, banks[name]) or [None])[0] for name in "ab")
+        assert got.get(f"p{i:05d}", (None, None)) == want, text
+    assert f"p{len(texts):05d}" not in got
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_dictionary_join_takes_keywords_with_a_core(spark, prompts, bound):
+    texts = odd_texts(2000)
+    banks, frame = odd_frame(spark, wordless=False)
+    got = {r.prompt_id: (r.a, r.b) for r in first_keywords_by_join(prompts(*texts), frame, bound, salts=3).collect()}
+    for i, text in enumerate(texts):
+        want = tuple((keyword_hits(text, banks[name]) or [None])[0] for name in "ab")
+        assert got.get(f"p{i:05d}", (None, None)) == want, text
+
+
+def test_dictionary_join_refuses_wordless_keywords(spark, prompts):
+    bank = KeywordBank.of("odd", [Keyword("c", None, "?!")]).frame(spark)
+    with pytest.raises(ResourceError, match="word character"):
+        first_keywords_by_join(prompts("x"), bank)
+
+
+@pytest.mark.parametrize("max_probe_rows", [1000, 0])
+def test_dictionary_rule_stage_equals_rule_stage(spark, prompts, banks, max_probe_rows):
     texts = hostile_texts(banks, 500, 13)
     columns = ("prompt_id", "label", "triggered_by", "short_circuit")
-    by_join = DictionaryRuleStage(banks.patterns, banks.keyword_frame(spark))
+    by_dictionary = DictionaryRuleStage(banks.patterns, banks.keyword_frame(spark), max_probe_rows=max_probe_rows)
     a = stage_results(prompts(*texts), [RuleStage(banks)]).select(*columns)
-    b = stage_results(prompts(*texts), [by_join]).select(*columns)
+    b = stage_results(prompts(*texts), [by_dictionary]).select(*columns)
     assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
 
 
-def test_dictionary_join_refuses_open_keywords(spark, prompts):
-    bank = KeywordBank.of("odd", [Keyword("c", None, "-dash")]).frame(spark)
-    with pytest.raises(ResourceError):
-        first_keywords_by_join(prompts("x"), bank)
+def test_dictionary_of_many_keywords(spark, prompts):
+    entries = [Keyword("c", None, f"word{i} tail{i % 50}") for i in range(15_000)] + [Keyword("c", None, "last!")]
+    frame = KeywordBank.of("many", entries).frame(spark)
+    texts = ["word7 tail7 word3 tail3", "word7 tail8", "the last! of word14999 tail49", "calm"]
+    got = {r.prompt_id: r.many for r in first_keywords(prompts(*texts), frame).collect()}
+    assert got == {"p00000": "word7 tail7", "p00002": "last!"}
+    joined = {r.prompt_id: r.many for r in first_keywords(prompts(*texts), frame, 100).collect()}
+    assert joined == got
+
+
+def test_empty_dictionary(spark, prompts):
+    frame = KeywordBank.of("none", []).frame(spark)
+    assert first_keywords(prompts("kill"), frame).count() == 0
+    stage = DictionaryRuleStage(PatternBank(()), frame)
+    assert [r.label for r in stage_results(prompts("kill"), [stage]).collect()] == ["Valid"]
 
 
 def test_all_hits_overlaps_and_spelling(prompts):

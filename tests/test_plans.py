@@ -3,10 +3,14 @@
 from conftest import SF
 from pyspark.sql import functions as F
 
+from tidegate.operators.dictionary import first_keywords_by_join
 from tidegate.operators.intake import accepted
+from tidegate.operators.scoring import from_classifier
+from tidegate.plans import seeds
 from tidegate.plans.catalog import QUERIES, _full_stages, _predicted
 from tidegate.plans.chain import inspect, screen
 from tidegate.plans.profiles import build
+from tidegate.plans.stages import DictionaryRuleStage, semantic_stage
 
 
 def plan_of(df):
@@ -44,8 +48,21 @@ def test_trace_explode_stays_small(spark):
     assert len(plan_of(exploded)) < 2 * len(plan_of(inspected))
 
 
-def test_dictionary_join_shuffles_only_hits(spark):
+def test_dictionary_is_probed_in_place(spark, tmp_path):
     plan = plan_of(QUERIES["keyword_ngram_join"](spark, SF))
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_dictionary_behind_a_model_stage_reads_once(spark, banks, tmp_path):
+    model = semantic_stage("m", 0.4, predictions=from_classifier(seeds.LetterClassifier, "m", 60.0))
+    stage = DictionaryRuleStage(banks.patterns, banks.keyword_frame(spark))
+    plan = plan_of(screen(accepted(source(spark, tmp_path)), [model, stage]))
+    assert plan.count("Scan parquet") == 1 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+
+
+def test_dictionary_join_shuffles_only_hits(spark, banks):
+    found = first_keywords_by_join(seeds.document_prompts(spark, SF), banks.keyword_frame(spark))
+    plan = plan_of(found)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Cartesian" not in plan
 
 

@@ -1,11 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidegate.errors import ResourceError
 from tidegate.operators import verdict as verdicts
 from tidegate.operators.intake import accepted, rejected
 from tidegate.plans import seeds
 from tidegate.plans.chain import screen
 from tidegate.plans.profiles import build
+from tidegate.plans.stages import DictionaryRuleStage
 from tidegate.session import shared_dir
 from tidegate.sources.prompts import stream_prompts
 from tidegate.streaming import jobs
@@ -23,6 +25,16 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+def test_dictionary_stage_in_a_stream(spark, banks, tmp_path):
+    path = prompt_files(spark, tmp_path)
+    stages = [DictionaryRuleStage(banks.patterns, banks.keyword_frame(spark))]
+    done = jobs.screen_to_table(stream_prompts(spark, path, files_per_trigger=2), stages, str(tmp_path / "out"))
+    assert rows(verdicts.flat(done)) == rows(verdicts.flat(screen(accepted(spark.read.parquet(path)), build("default"))))
+    joined = [DictionaryRuleStage(banks.patterns, banks.keyword_frame(spark), max_probe_rows=0)]
+    with pytest.raises(ResourceError, match="stream"):
+        screen(accepted(stream_prompts(spark, path)), joined)
+
+
 def test_stream_equals_batch_over_many_batches(spark, tmp_path):
     path = prompt_files(spark, tmp_path)
     stages, home = build("default"), str(tmp_path / "out")

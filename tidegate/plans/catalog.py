@@ -12,7 +12,7 @@ from tidegate.model import CLINICAL_LABELS, INJECTION_LABELS, MALIGN, VALID
 from tidegate.operators import intake, reports
 from tidegate.operators import trace as tracing
 from tidegate.operators import verdict as verdicts
-from tidegate.operators.dictionary import first_keywords_by_join
+from tidegate.operators.dictionary import PROBE_ROWS, first_keywords
 from tidegate.operators.rules import (
     all_keywords,
     all_patterns,
@@ -35,7 +35,7 @@ from tidegate.plans.stages import (
     attack_stage,
     semantic_stage,
 )
-from tidegate.session import BROADCAST_ROWS, ship
+from tidegate.session import ship
 from tidegate.sources.banks import Banks, keyword_frame
 from tidegate.sources.prompts import parse_requests
 from tidegate.streaming import jobs
@@ -172,10 +172,16 @@ def keyword_all_hits(spark, sf_dir):
 def keyword_ngram_join(spark, sf_dir):
     shipped = Banks.load()
     banks = keyword_frame(spark, shipped.crisis, shipped.malign, seeds.prose_bank())
-    found = first_keywords_by_join(_whole(spark, sf_dir), banks)
+    found = first_keywords(_whole(spark, sf_dir), banks)
     return found.select("prompt_id", "crisis", "malign", "prose")
 
 
+def dictionary_odd_keywords(spark, sf_dir):
+    """Keywords of any characters, as a dictionary."""
+    banks = keyword_frame(spark, Banks.load().crisis, seeds.odd_bank())
+    return first_keywords(_whole(spark, sf_dir), banks).select("prompt_id", "crisis", "odd")
+
+
 def rule_stage(spark, sf_dir):
     rows = stage_results(_accepted(spark, sf_dir), [RuleStage(Banks.load())])
     return rows.select(
@@ -183,20 +189,23 @@ def rule_stage(spark, sf_dir):
     )
 
 
-def _dictionary(spark, sf_dir, max_rows):
+def _dictionary_stage(spark, **bounds):
     banks = Banks.load()
-    keywords = keyword_frame(spark, banks.crisis, banks.malign)
-    stage = DictionaryRuleStage(banks.patterns, keywords, max_broadcast_rows=max_rows)
-    return stage_results(_accepted(spark, sf_dir), [stage]).select("prompt_id", "label", "triggered_by")
+    return DictionaryRuleStage(banks.patterns, keyword_frame(spark, banks.crisis, banks.malign), **bounds)
+
+
+def _dictionary(spark, sf_dir, **bounds):
+    rows = stage_results(_accepted(spark, sf_dir), [_dictionary_stage(spark, **bounds)])
+    return rows.select("prompt_id", "label", "triggered_by")
 
 
 def dictionary_rule_stage(spark, sf_dir):
-    return _dictionary(spark, sf_dir, BROADCAST_ROWS)
+    return _dictionary(spark, sf_dir, max_probe_rows=PROBE_ROWS)
 
 
 def dictionary_rule_shuffled(spark, sf_dir):
-    """The same with a bank too large to be broadcast."""
-    return _dictionary(spark, sf_dir, 0)
+    """The same with a bank too large to travel with the plan or to be broadcast."""
+    return _dictionary(spark, sf_dir, max_probe_rows=0, max_broadcast_rows=0)
 
 
 def severity_enrichment(spark, sf_dir):
@@ -572,6 +581,13 @@ def stream_screen(spark, sf_dir):
     return verdicts.flat(done).select("prompt_id", "code", "label", "stage", "triggered_by", "score")
 
 
+def stream_dictionary(spark, sf_dir):
+    """The dictionary stage over a stream."""
+    stream = _document_stream(spark, sf_dir, seeds.DOCUMENT_TEXT)
+    done = jobs.screen_to_table(stream, [_dictionary_stage(spark)])
+    return verdicts.flat(done).select("prompt_id", "code", "label", "stage", "triggered_by", "score")
+
+
 def stream_rejects(spark, sf_dir):
     stream = _document_stream(spark, sf_dir, seeds.RAW_TEXT)
     return jobs.split_to_tables(stream)[1].select("prompt_id", "reject_reason")
@@ -601,6 +617,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keyword_all_hits": keyword_all_hits,
     "keyword_ngram_join": keyword_ngram_join,
     "rule_stage": rule_stage,
+    "dictionary_odd_keywords": dictionary_odd_keywords,
     "dictionary_rule_stage": dictionary_rule_stage,
     "dictionary_rule_shuffled": dictionary_rule_shuffled,
     "severity_enrichment": severity_enrichment,
@@ -635,6 +652,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unmapped_labels": unmapped_labels,
     "gate_report": gate_report,
     "stream_screen": stream_screen,
+    "stream_dictionary": stream_dictionary,
     "stream_rejects": stream_rejects,
     "stream_counts": stream_counts,
 }

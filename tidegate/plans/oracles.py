@@ -402,6 +402,9 @@ ORACLES: dict[str, str] = {
     "keyword_ngram_join": f"""SELECT * FROM (SELECT prompt_id, ck AS crisis, mk AS malign,
         {_first_keyword('l', seeds.prose_bank())} AS prose FROM {_rules(_docs(), _whole)})
         WHERE crisis IS NOT NULL OR malign IS NOT NULL OR prose IS NOT NULL""",
+    "dictionary_odd_keywords": f"""SELECT * FROM (SELECT prompt_id, ck AS crisis,
+        {_first_keyword('l', seeds.odd_bank())} AS odd FROM {_rules(_docs(), _whole)})
+        WHERE crisis IS NOT NULL OR odd IS NOT NULL""",
     "rule_stage": f"""SELECT prompt_id, 'deterministic' AS stage_name, rl AS label, CAST(1 AS DOUBLE) AS confidence,
         rt AS triggered_by, rl <> 'Valid' AS short_circuit FROM {_rules(_docs())}""",
     "dictionary_rule_stage": f"""SELECT prompt_id, rl AS label, rt AS triggered_by FROM {_rules(_docs())}""",
@@ -464,6 +467,7 @@ ORACLES: dict[str, str] = {
     "gate_report": f"""SELECT mapped, count(*) FILTER (WHERE {_gate(0.75)} = mapped) AS kept,
         count(*) FILTER (WHERE {_gate(0.75)} <> mapped) AS downgraded FROM {_MAPPED} GROUP BY mapped""",
     "stream_screen": f"SELECT prompt_id, code, label, stage, triggered_by, score FROM {_default(_docs())}",
+    "stream_dictionary": f"SELECT prompt_id, code, label, stage, triggered_by, score FROM {_default(_docs())}",
     "stream_rejects": f"""SELECT prompt_id, {_REASON} AS reject_reason FROM {_docs(seeds.RAW_TEXT)}
         WHERE {_REASON} IS NOT NULL""",
     "stream_counts": f"SELECT label, code, count(*) AS prompts FROM {_default(_docs())} GROUP BY label, code",

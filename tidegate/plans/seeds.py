@@ -62,6 +62,11 @@ PROSE_KEYWORDS = (
     "the the", "the and", "of the", "of the and", "and", "and the", "a the", "der der",
     "de ci", "que ci", "la", "Attion to", "eriner thanea", "that", "is the",
 )
+# Keywords that begin or end with other characters than letters, or hold no letter at all.
+ODD_KEYWORDS = (
+    "the,", "of.", "Of,", "(a", "'t go on", "self-harm ", "-harm", "für", "!!", "&&&", "| ", "; the",
+    "and. The", "%%% ", "\n", ", ", "é", "thoughts. ", "#", "dead;", "-",
+)
 PROSE_PATTERNS = (
     ("PROSE_1", r"\bthe\s+\w+\s+of\b"),
     ("PROSE_2", r"th.{0,4}ndly"),
@@ -134,6 +139,10 @@ def prose_bank() -> KeywordBank:
     return KeywordBank.of("prose", [Keyword("common", None, kw) for kw in PROSE_KEYWORDS])
 
 
+def odd_bank() -> KeywordBank:
+    return KeywordBank.of("odd", [Keyword("odd", None, kw) for kw in ODD_KEYWORDS])
+
+
 def prose_patterns() -> PatternBank:
     return PatternBank.from_mapping(
         {"patterns": [{"id": id_, "pattern": pattern} for id_, pattern in PROSE_PATTERNS]}

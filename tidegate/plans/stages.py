@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegate.errors import ResourceError
 from tidegate.functions.labels import gate, is_blocking, normalise_label, score_out_of_bounds
 from tidegate.model import (
     ATTACK_STAGE,
@@ -26,7 +27,8 @@ from tidegate.model import (
     STAGE_RESULT,
     VALID,
 )
-from tidegate.operators.dictionary import first_keywords_by_join
+from tidegate.operators.dictionary import PROBE_ROWS, entries_if_few, first_keywords_by_join
+from tidegate.operators.probe import probed
 from tidegate.operators.rules import (
     FOLDED,
     LOWERED,
@@ -96,28 +98,30 @@ class RuleStage:
 
 @dataclass(frozen=True)
 class DictionaryRuleStage:
-    """The rule stage for banks too large for one expression: keywords are found by joins.
+    """The rule stage for banks too large for one expression.
 
-    ``keywords`` is a table with ``bank`` (crisis or malign), ``keyword``, ``folded`` and ``words``.
-    Hits depend on the text alone, so they come back by its SHA-256: null and repeated prompt ids
-    get what their own text says, and a text that many prompts share is looked up as one.
+    ``keywords`` is a table with ``bank`` (crisis or malign), ``keyword``, ``folded`` and ``words``. Up to
+    ``max_probe_rows`` of them travel with the plan and are looked up where each text is: no join, so the
+    stage also runs in streams, and what it reads is read once. More are joined, which streams cannot
+    do: hits depend on the text alone, so they come back by its SHA-256, and null and repeated prompt
+    ids get what their own text says.
     """
 
     patterns: PatternBank
     keywords: DataFrame
     name: str = RULE_STAGE
     max_broadcast_rows: int = BROADCAST_ROWS
+    max_probe_rows: int = PROBE_ROWS
 
     def evaluate(self, df: DataFrame, active: Column, out: str) -> DataFrame:
-        df = df.withColumn("_digest", F.sha2(F.col("text").cast("binary"), 256))
-        prompts = df.where(active).select("_digest", "text")
         found = with_matchable(df.withColumn("_active", active), F.when(active, F.col("text")))
-        found = found.withColumn("_pattern", first_pattern(self.patterns)).drop(LOWERED, FOLDED)
-        hits = first_keywords_by_join(prompts, self.keywords, self.max_broadcast_rows, key="_digest")
-        for bank in ("crisis", "malign"):
-            first = F.col(bank) if bank in hits.columns else F.lit(None).cast("string")
-            hits = hits.withColumn(f"_{bank}", first).drop(bank)
-        found = found.join(hits, "_digest", "left").drop("_digest")
+        found = found.withColumn("_pattern", first_pattern(self.patterns))
+        entries = entries_if_few(self.keywords, self.max_probe_rows)
+        if entries is None:
+            found = self._joined(df, active, found.drop(LOWERED, FOLDED))
+        else:
+            banks = [replace(e, bank=f"_{e.bank}") for e in entries]
+            found = probed(found, banks, ("_crisis", "_malign")).drop(LOWERED, FOLDED)
 
         def hit(label: str, trigger: Column) -> Column:
             return F.struct(F.lit(label).alias("label"), trigger.alias("triggered_by"))
@@ -135,6 +139,17 @@ class DictionaryRuleStage:
         done = F.when(F.col("_active"), outcome(rule_result(best)))
         return found.withColumn(out, done).drop("_active", "_pattern", "_crisis", "_malign")
 
+    def _joined(self, df: DataFrame, active: Column, found: DataFrame) -> DataFrame:
+        if df.isStreaming:
+            raise ResourceError("a bank of this size in a stream: it takes a join by text, which streams cannot do")
+        digest = F.sha2(F.col("text").cast("binary"), 256)
+        texts = df.where(active).select(digest.alias("_digest"), "text").dropDuplicates(["_digest"])
+        hits = first_keywords_by_join(texts, self.keywords, self.max_broadcast_rows, key="_digest")
+        for bank in ("crisis", "malign"):
+            first = F.col(bank) if bank in hits.columns else F.lit(None).cast("string")
+            hits = hits.withColumn(f"_{bank}", first).drop(bank)
+        return found.withColumn("_digest", digest).join(hits, "_digest", "left").drop("_digest")
+
 
 @dataclass(frozen=True)
 class ModelStage:
