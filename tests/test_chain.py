@@ -172,22 +172,31 @@ def test_reports_on_small_input(spark, prompts, banks):
 # --- profiles -----------------------------------------------------------------------------------
 
 
+PREDICTED = {"predictions": from_column("preds")}
+MODELS = {"semantic_bert": PREDICTED, "attack_detection": PREDICTED}
+
+
 def test_profiles_in_order():
     assert [s.name for s in build("default")] == ["deterministic"]
-    assert [s.name for s in build("clinical")] == ["deterministic", "semantic_bert"]
-    full = build("full")
+    assert [s.name for s in build("clinical", inject=MODELS)] == ["deterministic", "semantic_bert"]
+    full = build("full", inject=MODELS)
     assert [s.name for s in full] == ["deterministic", "semantic_bert", "attack_detection"]
     assert (full[1].threshold, full[2].threshold) == (0.75, 0.75)
-    assert attack_stage().threshold == 0.85
-    assert [s.name for s in build()] == [s.name for s in full]
+    assert attack_stage(**PREDICTED).threshold == 0.85
+    assert [s.name for s in build(inject=MODELS)] == [s.name for s in full]
 
 
 def test_profile_overrides_and_order():
-    assert build("full", {"stages.1.threshold": 0.9})[1].threshold == 0.9
+    assert build("full", {"stages.1.threshold": 0.9}, inject=MODELS)[1].threshold == 0.9
     swapped = {"stages": [{"stage": "attack_detection"}, {"stage": "deterministic"}]}
-    assert [s.name for s in build(swapped)] == ["attack_detection", "deterministic"]
+    assert [s.name for s in build(swapped, inject=MODELS)] == ["attack_detection", "deterministic"]
     with pytest.raises(ResourceError):
-        build("full", {"stages.7.threshold": 0.9})
+        build("full", {"stages.7.threshold": 0.9}, inject=MODELS)
+
+
+def test_a_stage_without_a_model_cannot_be_built(spark):
+    with pytest.raises(ResourceError, match="/nowhere"):
+        build("clinical", {"stages.1.model_id": "/nowhere/model"})
 
 
 def test_unknown_stage_is_reported_before_anything_is_built():

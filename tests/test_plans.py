@@ -31,7 +31,9 @@ def test_default_profile_is_native_and_shuffle_free(spark, tmp_path):
 
 
 def test_full_profile_has_no_shuffle(spark, tmp_path):
-    plan = plan_of(screen(accepted(source(spark, tmp_path)), build("full")))
+    model = {"factory": seeds.LetterClassifier}
+    stages = build("full", inject={"semantic_bert": model, "attack_detection": model})
+    plan = plan_of(screen(accepted(source(spark, tmp_path)), stages))
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 2
     assert plan.count("Scan parquet") == 1
 

@@ -1,11 +1,15 @@
 import os
 import sys
+import threading
 import time
 
+import numpy as np
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tidegate.operators.scoring import _ChunkScorer, from_classifier, from_ml_model
+from tidegate.operators.inference import ChunkScorer, judged
+from tidegate.operators.scoring import fit_words, from_classifier, from_ml_model
 from tidegate.plans.chain import screen, stage_results
 from tidegate.plans.stages import RuleStage, semantic_stage
 
@@ -65,45 +69,101 @@ def test_a_function_factory_loads_once_a_worker(prompts, tmp_path):
     assert workers and len(workers) == len(set(workers))
 
 
-def test_default_classifier_needs_its_library(prompts):
-    row = stage_results(prompts("a"), [semantic_stage("m", 0.5)]).first()
-    assert row.error.type == "ResourceError"
-
-
 class Batch:
+    """Not made for threads: a call that meets another one says so."""
+
     def __init__(self):
-        self.calls = []
+        self.busy = False
 
     def __call__(self, text):
-        self.calls.append(text)
+        if self.busy:
+            raise RuntimeError("called while busy")
+        self.busy = True
         if text == "bad":
+            self.busy = False
             raise RuntimeError("bad row")
         if text == "slow":
-            time.sleep(1.0)
-        return [{"label": "A", "score": 0.5}]
+            time.sleep(60.0)
+        if text == "gone":
+            os._exit(3)
+        self.busy = False
+        return [{"label": str(os.getpid()), "score": 0.5}]
 
     def batch(self, texts):
         return [self(t) for t in texts]
 
 
-def test_bad_row_does_not_spoil_its_chunk():
-    got = _ChunkScorer(Batch(), 5.0, 4).score(["a", "b", "bad", "c", "d"])
+@pytest.fixture
+def scored():
+    scorers = []
+
+    def make(load, timeout_s, chunk_rows):
+        scorers.append(ChunkScorer(load, timeout_s, chunk_rows))
+        return scorers[-1]
+
+    yield make
+    for scorer in scorers:
+        scorer.end()
+
+
+def test_bad_row_does_not_spoil_its_chunk(scored):
+    class Once(Batch):
+        def batch(self, texts):
+            self.busy = False
+            return super().batch(texts)
+
+    got = scored(Once, 5.0, 4).score(["a", "b", "bad", "c", "d"])
     assert [r[2] for r in got] == [None, None, "RuntimeError", None, None]
 
 
-def test_slow_row_does_not_spoil_its_chunk():
-    scorer = _ChunkScorer(Batch(), 0.3, 4)
+def test_an_overrun_ends_the_process_and_nothing_runs_beside_the_retry(scored):
+    scorer = scored(Batch, 0.4, 4)
+    first = scorer.child._process.pid
+    start = time.monotonic()
     got = scorer.score(["a", "slow", "b", "c"])
     assert [r[2] for r in got] == [None, "TimeoutError", None, None]
-    assert scorer.rows == 2
+    assert time.monotonic() - start < 30
+    assert scorer.rows == 2 and str(first) not in {r[0] for r in got}
+    with pytest.raises(ProcessLookupError):
+        os.kill(first, 0)
+    assert threading.active_count() < 20 and not any("run" in t.name for t in threading.enumerate())
 
 
-def test_short_batch_answers_fall_back_to_rows():
+def test_a_classifier_that_ends_its_process(scored):
+    got = scored(Batch, 5.0, 1).score(["a", "gone", "b"])
+    assert [r[2] for r in got] == [None, "RuntimeError", None]
+
+
+def test_short_batch_answers_fall_back_to_rows(scored):
     class Short(Batch):
         def batch(self, texts):
             return []
 
-    assert [r[0] for r in _ChunkScorer(Short(), None, 4).score(["a", "b"])] == ["A", "A"]
+    assert [r[2] for r in scored(Short, None, 4).score(["a", "b"])] == [None, None]
+
+
+def test_shapes_of_answers():
+    good = [[{"label": "A", "score": 1}], ({"label": "A", "score": "0.5"},), [{"label": "A", "score": np.float32(1)}]]
+    bad = [None, [], "A", {"label": "A"}, [None], [{"label": "A"}], [{"label": 1, "score": 1}],
+           [{"label": "A", "score": None}], [{"label": "A", "score": "x"}], [{"label": "A", "score": [1]}]]
+    assert [judged(raw)[2] for raw in good] == [None] * 3
+    assert {judged(raw)[2] for raw in bad} == {"ValueError"}
+
+
+def test_saved_word_model(spark, prompts, banks, tmp_path):
+    rows = spark.createDataFrame(
+        [("gloom and dark", 1), ("dark night", 1), ("sunny day", 0), ("bright sunny", 0), (None, 1), ("x", None)],
+        "text string, toxic int")
+    path = str(tmp_path / "model")
+    fit_words(rows, "toxic").save(path)
+    stages = [RuleStage(banks), semantic_stage(path, 0.5)]
+    verdicts = screen(prompts("so DARK", "so sunny", "self harm", "???"), stages)
+    got = verdicts.orderBy("prompt_id").collect()
+    assert [r.label for r in got][:3] == ["Crisis", "Valid", "Crisis"]
+    # Counts and smoothing by hand: 7 words; 5 in toxic texts, "dark" twice; 4 in others.
+    dark = (3 / 12) / (3 / 12 + 1 / 11)
+    assert abs(got[0].data.confidence_score - dark) < 1e-12
+    assert "Python" not in verdicts._jdf.queryExecution().executedPlan().toString()
 
 
 def test_null_texts_pass_through(spark):

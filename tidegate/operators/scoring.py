@@ -8,8 +8,6 @@ input, and only the text column is sent to the workers.
 
 from __future__ import annotations
 
-import queue
-import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.errors import ResourceError
+from tidegate.operators.inference import ChunkScorer, failed
 from tidegate.model import CUSTOM_OUTCOME, SCORED
 
 PredictionSource = Callable[[DataFrame, Column], tuple[DataFrame, Column]]
 CHUNK_ROWS = 32
 
-# Loaded models of a Python worker process, by the token of their prediction source; the last few.
-_loaded: dict[str, Any] = {}
+# Classifiers of a Python worker process, by the token of their prediction source; the last few.
+_loaded: dict[str, ChunkScorer] = {}
 KEPT_MODELS = 4
 
 
@@ -100,150 +99,40 @@ def attach_predictions(prompts: DataFrame, predictions: DataFrame, name: str) ->
 # --- a classifier running in Python workers -----------------------------------------------------
 
 
-class TransformersClassifier:
-    """Default factory product: a text-classification pipeline that can score lists."""
-
-    def __init__(self, task: str, model: str, truncation: bool) -> None:
-        try:
-            from transformers import pipeline
-        except ImportError as exc:
-            raise ResourceError("the transformers library", exc) from exc
-        self._run = pipeline(task, model=model, truncation=truncation)
-
-    def __call__(self, text: str) -> list[dict]:
-        return self._run(text)
-
-    def batch(self, texts: list[str]) -> list[list[dict]]:
-        return [[one] for one in self._run(list(texts), batch_size=len(texts))]
-
-
-def _bounded(call: Callable[[], Any], seconds: float | None) -> Any:
-    """Run ``call``; give up waiting after ``seconds``.
-
-    A hung call cannot be killed; it stays on a daemon thread that ends with the worker process.
-    """
-    if seconds is None:
-        return call()
-    box: queue.SimpleQueue = queue.SimpleQueue()
-
-    def run() -> None:
-        try:
-            box.put((call(), None))
-        except Exception as exc:
-            box.put((None, exc))
-
-    threading.Thread(target=run, daemon=True).start()
-    try:
-        value, failure = box.get(timeout=seconds)
-    except queue.Empty:
-        raise TimeoutError(f"inference took longer than {seconds} s") from None
-    if failure is not None:
-        raise failure
-    return value
-
-
-def _read_prediction(raw: Any) -> tuple[str, float]:
-    try:
-        first = raw[0]
-        label, score = first["label"], float(first["score"])
-    except (IndexError, KeyError, TypeError, ValueError) as exc:
-        raise ValueError("unexpected model output") from exc
-    if not isinstance(label, str):
-        raise ValueError("unexpected model output")
-    return label, score
-
-
-def _failed(exc: Exception) -> tuple:
-    return None, None, type(exc).__name__, str(exc)
-
-
-def _good(raw: Any) -> tuple:
-    try:
-        return (*_read_prediction(raw), None, None)
-    except ValueError as exc:
-        return _failed(exc)
-
-
-class _ChunkScorer:
-    """Scores a task's rows chunk by chunk and isolates the rows that fail.
-
-    A chunk is first offered to the classifier whole. If that fails or overruns, its rows are
-    scored one by one, each under its own limit, so only the guilty rows carry an error. A
-    classifier that keeps overrunning gets smaller chunks for the rest of the task.
-    """
-
-    def __init__(self, classifier: Any, timeout_s: float | None, chunk_rows: int) -> None:
-        self.classifier = classifier
-        self.batch = getattr(classifier, "batch", None)
-        self.timeout_s = timeout_s
-        self.rows = max(1, chunk_rows) if self.batch else 1
-
-    def one(self, text: str) -> tuple:
-        start = time.perf_counter()
-        try:
-            outcome = _good(_bounded(lambda: self.classifier(text), self.timeout_s))
-        except Exception as exc:
-            outcome = _failed(exc)
-        return (*outcome, _ms(start))
-
-    def many(self, texts: list[str]) -> list[tuple]:
-        start = time.perf_counter()
-        try:
-            raws = _bounded(lambda: self.batch(texts), self.timeout_s)
-            if len(raws) != len(texts):
-                raise ValueError("one prediction per text expected")
-        except TimeoutError:
-            self.rows = max(1, self.rows // 2)
-            return [self.one(text) for text in texts]
-        except Exception:
-            return [self.one(text) for text in texts]
-        share = _ms(start) / len(texts)
-        return [(*_good(raw), round(share, 3)) for raw in raws]
-
-    def score(self, texts: list[str]) -> list[tuple]:
-        out: list[tuple] = []
-        while len(out) < len(texts):
-            chunk = texts[len(out) : len(out) + self.rows]
-            out += self.many(chunk) if len(chunk) > 1 else [self.one(chunk[0])]
-        return out
-
-
-def _ms(start: float) -> float:
-    return round((time.perf_counter() - start) * 1000, 3)
-
-
-def _load(token: str, factory: Callable[..., Any], model_id: str) -> Any:
-    model = _loaded.pop(token, None)
-    if model is None:
-        model = factory("text-classification", model=model_id, truncation=True)
+def _scorer(token: str, make: Callable[[], ChunkScorer]) -> ChunkScorer:
+    scorer = _loaded.pop(token, None) or make()
     while len(_loaded) >= KEPT_MODELS:
-        del _loaded[next(iter(_loaded))]  # the one not used for longest
-    _loaded[token] = model
-    return model
+        _loaded.pop(next(iter(_loaded))).end()  # the one not used for longest
+    _loaded[token] = scorer
+    return scorer
 
 
 def from_classifier(
-    factory: Callable[..., Any] = TransformersClassifier,
+    factory: Callable[..., Any],
     model_id: str = "",
     timeout_s: float | None = 10.0,
     chunk_rows: int = CHUNK_ROWS,
 ) -> PredictionSource:
     """Score with ``factory(task, model=, truncation=)``, a picklable callable.
 
-    The model is loaded on first use and kept for the worker process under a token made here, as a
-    function that travels by value is a new object in every task. Load failures and scoring
-    failures mark rows; they never fail the task.
+    The model is loaded on first use, in a child process that each Python worker keeps under a token
+    made here, as a function that travels by value is a new object in every task. ``timeout_s`` is for
+    one text; a call that overruns is ended with its process. Load failures and scoring failures mark
+    rows; they never fail the task.
     """
 
     token = uuid.uuid4().hex
 
+    def load() -> Any:
+        return factory("text-classification", model=model_id, truncation=True)
+
     def rows_of(texts: list[str]) -> list[tuple]:
         if not texts:
             return []
         try:
-            scorer = _ChunkScorer(_load(token, factory, model_id), timeout_s, chunk_rows)
+            scorer = _scorer(token, lambda: ChunkScorer(load, timeout_s, chunk_rows))
         except Exception as exc:
-            return [(*_failed(ResourceError(model_id, exc)), None)] * len(texts)
+            return [(*failed(ResourceError(model_id, exc)), None)] * len(texts)
         return scorer.score(texts)
 
     # Non-deterministic on purpose: the optimizer then never duplicates the call or moves a
@@ -300,9 +189,46 @@ def from_ml_model(
     return source
 
 
+def from_saved_model(path: str, raw_labels: tuple[str, ...] = ("LABEL_0", "LABEL_1")) -> PredictionSource:
+    """A pipeline saved by Spark ML, on any path that Spark reads. What cannot be loaded is a build error."""
+    from pyspark.ml import PipelineModel
+
+    try:
+        model = PipelineModel.load(path)
+    except Exception as exc:
+        raise ResourceError(f"model {path}", exc) from exc
+    return from_ml_model(model, raw_labels)
+
+
+def fit_words(texts: DataFrame, label: str, most_words: int = 1 << 18, smoothing: float = 1.0) -> Any:
+    """A linear text classifier, fitted and applied in the JVM: word counts into multinomial naive Bayes.
+
+    ``texts`` has ``text`` and a 0/1 column. Words are runs of ASCII word characters; of those met, the
+    ``most_words`` most frequent are the model's features, so the driver holds two weights for each.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+
+    rows = texts.where(F.col("text").isNotNull() & F.col(label).isNotNull())
+    rows = rows.select(F.col("text").alias("scored_text"), F.col(label).cast("double").alias("_ml_label"))
+    flow = Pipeline(
+        stages=[
+            RegexTokenizer(inputCol="scored_text", outputCol="_ml_words", pattern="[^0-9a-z_]+"),
+            CountVectorizer(inputCol="_ml_words", outputCol="_ml_counts", vocabSize=most_words),
+            NaiveBayes(featuresCol="_ml_counts", labelCol="_ml_label", smoothing=smoothing),
+        ]
+    )
+    return flow.fit(rows)
+
+
 # --- row-at-a-time custom stages ----------------------------------------------------------------
 
 
+def _ms(start: float) -> float:
+    return round((time.perf_counter() - start) * 1000, 3)
+
+
 def custom_outcomes(process: Callable[[str, str | None], dict]):
     """``process(text, session_id)`` -> dict with label, confidence, triggered_by, short_circuit.
 

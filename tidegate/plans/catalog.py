@@ -22,7 +22,14 @@ from tidegate.operators.rules import (
     match_columns,
     severity,
 )
-from tidegate.operators.scoring import attach_predictions, from_classifier, from_column, parse_json
+from tidegate.operators.scoring import (
+    attach_predictions,
+    fit_words,
+    from_classifier,
+    from_column,
+    from_saved_model,
+    parse_json,
+)
 from tidegate.plans import seeds
 from tidegate.plans.chain import inspect, screen, stage_results
 from tidegate.plans.profiles import build
@@ -35,7 +42,7 @@ from tidegate.plans.stages import (
     attack_stage,
     semantic_stage,
 )
-from tidegate.session import ship
+from tidegate.session import shared_dir, ship
 from tidegate.sources.banks import Banks, keyword_frame
 from tidegate.sources.prompts import parse_requests
 from tidegate.streaming import jobs
@@ -322,6 +329,18 @@ def scorer_timeout(spark, sf_dir):
     return _classified(spark, sf_dir, seeds.HangingClassifier, 3.0)
 
 
+def ml_scored(spark, sf_dir):
+    """Every document, scored by a word model that is fitted on the labelled ones, saved and loaded."""
+    docs = seeds.documents(spark, sf_dir)
+    labelled = docs.join(seeds.table(spark, sf_dir, "labels"), "doc_id").select("text", "toxic")
+    path = shared_dir(spark, "word-model")
+    fit_words(labelled, "toxic").save(path)
+    prompts = seeds.prompts_of(docs, "text").where(F.col("text").isNotNull())
+    stage = semantic_stage(CLINICAL_MODEL, 0.75, predictions=from_saved_model(path))
+    rows = stage_results(prompts, [stage])
+    return rows.select("prompt_id", "label", "triggered_by", F.round("confidence", 6).alias("score"))
+
+
 # --- chains -------------------------------------------------------------------------------------
 
 _FLAT = ("prompt_id", "code", "label", "stage", "triggered_by", "reason", "score", "processed_text")
@@ -627,6 +646,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_guard": score_guard,
     "semantic_stage": semantic_rows,
     "attack_stage": attack_rows,
+    "ml_scored": ml_scored,
     "score_text": score_text,
     "scorer_errors": scorer_errors,
     "scorer_timeout": scorer_timeout,

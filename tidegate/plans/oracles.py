@@ -376,6 +376,32 @@ _TIMING = f"""SELECT stage, executed, CASE stage WHEN 'deterministic' THEN 0 ELS
     FROM (SELECT 'deterministic' AS stage, count(*) AS executed FROM {_rules(_docs())}
         UNION ALL SELECT 'semantic_bert', count(*) FILTER (WHERE rl = 'Valid') FROM {_rules(_docs())})"""
 
+# Multinomial naive Bayes over words, with one added to each count.
+_WORD_MODEL = f"""WITH bags AS (
+        SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z_]+')) AS word FROM documents WHERE text IS NOT NULL
+    ), learnt AS (
+        SELECT l.doc_id, l.toxic FROM labels l JOIN documents d USING (doc_id)
+        WHERE d.text IS NOT NULL AND l.toxic IS NOT NULL
+    ), counts AS (
+        SELECT word, count(*) FILTER (toxic = 0) AS n0, count(*) FILTER (toxic = 1) AS n1
+        FROM bags JOIN learnt USING (doc_id) GROUP BY word
+    ), weights AS (
+        SELECT word, ln(n0 + 1) - ln(sum(n0) OVER () + count(*) OVER ()) AS w0,
+               ln(n1 + 1) - ln(sum(n1) OVER () + count(*) OVER ()) AS w1 FROM counts
+    ), priors AS (
+        SELECT ln(count(*) FILTER (toxic = 0) + 1) AS p0, ln(count(*) FILTER (toxic = 1) + 1) AS p1 FROM learnt
+    ), sums AS (
+        SELECT doc_id, sum(w0) AS s0, sum(w1) AS s1 FROM bags JOIN weights USING (word) GROUP BY doc_id
+    ), odds AS (
+        SELECT CAST(d.doc_id AS VARCHAR) AS prompt_id, p1 - p0 + coalesce(s1 - s0, 0) AS x
+        FROM documents d CROSS JOIN priors LEFT JOIN sums USING (doc_id) WHERE d.text IS NOT NULL
+    ), scored AS (
+        SELECT prompt_id, x > 0 AS dark, 1 / (1 + exp(-abs(x))) AS score FROM odds
+    )
+    SELECT prompt_id, CASE WHEN dark AND score >= 0.75 THEN 'Crisis' ELSE 'Valid' END AS label,
+        'model:{_CLINICAL_MODEL}|raw_label:' || CASE WHEN dark THEN 'LABEL_1' ELSE 'LABEL_0' END AS triggered_by,
+        round(score, 6) AS score FROM scored"""
+
 ORACLES: dict[str, str] = {
     "profile_default": f"""SELECT prompt_id, source, code, label, stage, triggered_by, score FROM {_default()}""",
     "profile_clinical": _FLAT + _verdict(_modelled(clinical=0.9), 2),
@@ -427,6 +453,7 @@ ORACLES: dict[str, str] = {
     "score_guard": _GUARD,
     "semantic_stage": _stage_columns("c", "semantic_bert", "ValueError"),
     "attack_stage": _stage_columns("a", "attack_detection", "ValueError"),
+    "ml_scored": _WORD_MODEL,
     "score_text": _classified(),
     "scorer_errors": _classified(_BRITTLE),
     "scorer_timeout": _classified(_HANG),

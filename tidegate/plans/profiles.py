@@ -66,20 +66,25 @@ def build(
     arguments per stage name: a prediction source, a classifier factory, a label map.
     """
     document = override(load_profile(profile), overrides or {})
-    specs = document.get("stages") or []
-    unknown = [spec.get("stage") for spec in specs if spec.get("stage") not in _registry]
-    if unknown:
-        raise ResourceError(f"stages {unknown}: not registered; known are {registered()}")
+    chosen = [_factory(place, spec) for place, spec in enumerate(document.get("stages") or [])]
     stages = []
-    for spec in specs:
-        name, arguments = spec["stage"], {k: v for k, v in spec.items() if k != "stage"}
-        if name == RULE_STAGE:
-            arguments = {**(banks or {}), **arguments}
-        arguments.update((inject or {}).get(name, {}))
-        try:
-            stages.append(_registry[name](**arguments))
-        except ResourceError:
-            raise
-        except Exception as exc:
-            raise ResourceError(f"stage {name}", exc) from exc
+    for name, factory, given in chosen:
+        files = (banks or {}) if name == RULE_STAGE else {}
+        stages.append(_made(name, factory, {**files, **given, **(inject or {}).get(name, {})}))
     return stages
+
+
+def _factory(place: int, spec: Mapping[str, Any]) -> tuple[str, Callable[..., Stage], dict[str, Any]]:
+    """Name, factory and arguments of one entry of a profile; every entry is looked up before any is built."""
+    given = dict(spec)
+    name = given.pop("stage", None)
+    if name not in _registry:
+        raise ResourceError(f"stage {place} of the profile: {name!r} is none of {registered()}")
+    return name, _registry[name], given
+
+
+def _made(name: str, factory: Callable[..., Stage], arguments: Mapping[str, Any]) -> Stage:
+    try:
+        return factory(**arguments)
+    except (TypeError, ValueError, ArithmeticError) as exc:
+        raise ResourceError(f"arguments of stage {name}", exc) from exc

@@ -37,7 +37,7 @@ from tidegate.operators.rules import (
     rule_result,
     with_matchable,
 )
-from tidegate.operators.scoring import PredictionSource, custom_outcomes, from_classifier
+from tidegate.operators.scoring import PredictionSource, custom_outcomes, from_classifier, from_saved_model
 from tidegate.session import BROADCAST_ROWS
 from tidegate.sources.banks import Banks, PatternBank
 
@@ -274,7 +274,8 @@ def attack_stage(model_id: str = INJECTION_MODEL, threshold: float = INJECTION_T
 def _model_stage(name, model_id, threshold, timeout_s, labels, predictions, factory) -> ModelStage:
     if wrong := sorted(set(labels.values()) - set(LABELS)):
         raise ValueError(f"{name}: labels map to {wrong}, which are none of {list(LABELS)}")
-    if predictions is None:
-        chosen = {} if factory is None else {"factory": factory}
-        predictions = from_classifier(model_id=model_id, timeout_s=timeout_s, **chosen)
+    if predictions is None and factory is not None:
+        predictions = from_classifier(factory, model_id, timeout_s)
+    if predictions is None:  # the model is one that Spark ML saved, or the stage cannot be built
+        predictions = from_saved_model(model_id)
     return ModelStage(name, model_id, float(threshold), dict(labels), predictions)
