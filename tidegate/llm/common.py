@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,18 @@ def text_of(value: bytes | None) -> str:
     return value.decode("utf-8", "replace") if value else ""
 
 
+def of_texts(make, kind: str = "double"):
+    """A column function of whole texts; ``make()`` gives a task its function of a list of texts. Nothing
+    but the text crosses to Python."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = make()
+        for batch in batches:
+            yield pa.array(score([text_of(v) for v in batch.cast(pa.binary()).to_pylist()]), pa.float64())
+
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
 def mix(x):
     """SplitMix64's finaliser over a uint64 array: public constants, wraps around."""
     import numpy as np

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import groups, kept_out, mix, raw, start, text_of
+from tidegate.llm.common import groups, kept_out, mix, of_texts, raw, start, text_of
+from tidegate.session import broadcast_if_small
 from tidegate.llm.toxicity import words
 
 GRAMS = (1, 2, 3, 4)
@@ -150,7 +151,8 @@ def train(
     )
     share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_per_language)) / F.count(F.lit(1))).alias("share"))
     dice = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.join(share, "lang").where(dice < F.col("share")).select("lang", "text")
+    # A row a language: unless there are very many, texts stay where they are.
+    sample = known.join(broadcast_if_small(share)[0], "lang").where(dice < F.col("share")).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -194,10 +196,4 @@ def in_a_language(docs: DataFrame, profiles: Profiles, text: str = "text") -> Da
     """The rows of ``docs`` whose text is in some learnt language, unchanged, in one pass: those without
     a letter, and those that share no n-gram with any profile, go."""
     shared = start(docs.sparkSession).sparkContext.broadcast(profiles)
-
-    def run(batches):
-        for batch in batches:
-            scores = shared.value.identify([text_of(v) for v in raw(batch, text)])[1]
-            yield batch.filter(pa.array([s > 0 for s in scores], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(of_texts(lambda: lambda texts: shared.value.identify(texts)[1])(F.col(text)) > 0)

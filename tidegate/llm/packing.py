@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import raw, start, text_of, written
-from tidegate.llm.tokens import Encoder, Vocabulary
+from tidegate.llm.tokens import Encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -213,7 +213,7 @@ def pieces(
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
-        encoder = Encoder(Vocabulary.load(path))
+        encoder = Encoder.plain(path)
         for batch in batches:
             row, begin, ids = [], [], []
             for i, coded in enumerate(encoder.encode([text_of(v) for v in raw(batch, "text")])):

@@ -18,6 +18,7 @@ KEPT_PIECES = 300_000
 GROUP_LETTERS = 2_000_000
 
 _loaded: dict[str, Vocabulary] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -95,6 +96,13 @@ class Encoder:
         self.vocabulary, self.lexicon, self.most = vocabulary, lexicon, most
         self.known: dict[str, bytes] = {"": b""}
 
+    @classmethod
+    def plain(cls, path: str) -> Encoder:
+        """One per process, without a lexicon: its tasks share what it has learnt, up to the bound."""
+        if path not in _encoders:
+            _encoders[path] = cls(Vocabulary.load(path))
+        return _encoders[path]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         return [ids for part in groups(texts, GROUP_LETTERS) for ids in self._encode(texts[part])]
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import groups, kept_out, mix, raw, start, text_of
+from tidegate.llm.common import groups, kept_out, mix, of_texts, raw, start, text_of
 
 MOST_TOXIC, MOST_CLEAN = 2_000, 4_000  # bounds of the learning sample
 BUCKETS = 1 << 16
@@ -257,11 +257,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 def clean(docs: DataFrame, model: Model, text: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``reject_at``, unchanged, in one pass."""
     shared = start(docs.sparkSession).sparkContext.broadcast(model)
-
-    def run(batches):
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            scores = scorer([text_of(v) for v in raw(batch, text)])
-            yield batch.filter(pa.array(scores < reject_at))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(of_texts(lambda: Scorer(shared.value))(F.col(text)) < reject_at)
