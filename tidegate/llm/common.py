@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tidegate.session import shared_dir, ship
 
+ROWS_AT_ONCE = 512  # texts that a column function decodes together
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -42,11 +47,33 @@ def of_texts(make, kind: str = "double"):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = make()
         for batch in batches:
-            yield pa.array(score([text_of(v) for v in batch.cast(pa.binary()).to_pylist()]), pa.float64())
+            parts = [batch.slice(at, ROWS_AT_ONCE).cast(pa.binary()) for at in range(0, len(batch), ROWS_AT_ONCE)]
+            found = [pa.array(score([text_of(v) for v in part.to_pylist()]), pa.float64()) for part in parts]
+            yield pa.concat_arrays(found) if found else pa.array([], pa.float64())
+        del score
+        give_back()
 
     return F.arrow_udf(run, kind).asNondeterministic()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and the next task's may be another's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such call, memory stays with the worker
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """A function of batches that gives its memory back when its task ends."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def mix(x):
     """SplitMix64's finaliser over a uint64 array: public constants, wraps around."""
     import numpy as np

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import groups, kept_out, mix, of_texts, raw, start, text_of
+from tidegate.llm.common import groups, kept_out, mix, of_texts, raw, start, text_of, tidy
 from tidegate.session import broadcast_if_small
 from tidegate.llm.toxicity import words
 
@@ -166,7 +166,7 @@ def train(
                     ["lang", "gram", "n"],
                 )
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     top = counts.withColumn("place", place).where(F.col("place") < RANKS)
     return Profiles.of([(r["lang"], r["gram"], r["place"]) for r in top.collect()])
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str
 
     return (
         docs.select(F.col(key).alias("key"), kept_out(key).alias("held_out"), F.col(text).alias("text"))
-        .mapInArrow(run, f"key {kind}, held_out boolean, lang_pred string, score double")
+        .mapInArrow(tidy(run), f"key {kind}, held_out boolean, lang_pred string, score double")
         .withColumnRenamed("key", key)
     )
 

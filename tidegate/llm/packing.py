@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import raw, start, text_of, written
+from tidegate.llm.common import raw, start, text_of, tidy, written
 from tidegate.llm.tokens import Encoder
 
 CAPACITY = 1024
@@ -241,7 +241,7 @@ def pieces(
 
     return (
         docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        .mapInArrow(cut, f"key {kind}, piece int, start long, length long, ids binary")
+        .mapInArrow(tidy(cut), f"key {kind}, piece int, start long, length long, ids binary")
         .withColumnRenamed("key", key)
     )
 

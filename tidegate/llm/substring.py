@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.llm.common import start, windows, word_hashes, written
+from tidegate.llm.common import start, tidy, windows, word_hashes, written
 
 WINDOW = 50
 PHRASE = 10
@@ -278,7 +278,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             )
 
     found = spans(docs, key, text).select(F.col(key).alias("key"), F.col(text).alias("text"), "spans")
-    return found.mapInArrow(digest, f"key {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("key", key)
+    return found.mapInArrow(tidy(digest), f"key {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("key", key)
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
@@ -302,7 +302,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str
     row = T.StructType(
         [carried.schema["_row"], T.StructField("_text", T.StringType()), T.StructField("_kept", T.BinaryType())]
     )
-    done = found.select("_row", "_text", "spans").mapInArrow(cut, row)
+    done = found.select("_row", "_text", "spans").mapInArrow(tidy(cut), row)
     kept = F.col("_kept").cast("string")
     columns = []
     for name in docs.columns:

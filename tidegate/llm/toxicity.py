@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import groups, kept_out, mix, of_texts, raw, start, text_of
+from tidegate.llm.common import groups, kept_out, mix, of_texts, raw, start, text_of, tidy
 
 MOST_TOXIC, MOST_CLEAN = 2_000, 4_000  # bounds of the learning sample
 BUCKETS = 1 << 16
@@ -200,7 +200,7 @@ def train(
         docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
         .join(F.broadcast(chosen), "key")  # most_toxic + most_clean keys at most
         .select("key", "label", "text")
-        .mapInArrow(bag, f"key {kind}, label int, buckets binary, weights binary")
+        .mapInArrow(tidy(bag), f"key {kind}, label int, buckets binary, weights binary")
     )
     rows = sorted(sample.collect(), key=lambda r: (r["key"], r["label"], bytes(r["buckets"])))
     texts = [
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     return (
         docs.select(F.col(key).alias("key"), kept_out(key).alias("held_out"), F.col(text).alias("text"))
-        .mapInArrow(run, f"key {kind}, held_out boolean, score double")
+        .mapInArrow(tidy(run), f"key {kind}, held_out boolean, score double")
         .withColumn("predicted", (F.col("score") >= REJECT_AT).cast("int"))
         .withColumnRenamed("key", key)
     )
