@@ -17,12 +17,14 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import groups, kept_out, mix, of_texts, raw, start, text_of, tidy
+from tidegate.llm.common import give_back, groups, kept_out, mix, of_texts, raw, start, text_of, tidy, written
 
 MOST_TOXIC, MOST_CLEAN = 2_000, 4_000  # bounds of the learning sample
 BUCKETS = 1 << 16
@@ -202,11 +204,16 @@ def train(
         .select("key", "label", "text")
         .mapInArrow(tidy(bag), f"key {kind}, label int, buckets binary, weights binary")
     )
-    rows = sorted(sample.collect(), key=lambda r: (r["key"], r["label"], bytes(r["buckets"])))
-    texts = [
-        (np.frombuffer(r["buckets"], dtype="<i4"), np.frombuffer(r["weights"], dtype="<f4")) for r in rows
+    # Written first, so that the driver can take them part by part without the work being done part by part.
+    rows = [
+        (r["key"], r["label"], hashlib.md5(r["buckets"]).digest(), np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["weights"], "<f4"))
+        for r in written(sample, "bags").toLocalIterator()
     ]
-    return fit(texts, np.array([r["label"] for r in rows], dtype=np.int64))
+    rows.sort(key=lambda r: r[:3])
+    model = fit([r[3:] for r in rows], np.array([r[1] for r in rows], dtype=np.int64))
+    del rows
+    give_back()
+    return model
 
 
 class Scorer:
