@@ -14,11 +14,10 @@ whole. Only the key, the text and the label are read, so other columns may have
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
