@@ -5,7 +5,8 @@ has a bound, the largest positive part it can add to any score of the shard. Ter
 those whose bounds together stay below the k-th best score so far are non-essential: a vector
 that has nothing positive in the essential terms cannot compete. Essential postings are traversed, the
 dearest first, then the others are probed, and a vector is dropped as soon as what it has plus the
-bounds still to come is below the k-th best score. Scores are whole numbers, so results are exact.
+bounds still to come is below the k-th best score. Scores are whole numbers, summed in doubles where no
+sum can reach 2^53, in 64-bit integers where none can reach 2^62 and in Python's integers beyond, so they are exact.
 
 Vectors are packed into shards and queries into blocks, and each block meets every shard once: the
 stated query set against all rows. A task goes through the shards of a block in turn, carries the k-th
@@ -15,7 +16,8 @@ Cases: null vectors, and vectors with null or non-finite components, take no par
 with a null id; vectors of other lengths count as filled up with zeros; ties go to the smaller id; a
 query with fewer than k candidates gets them all; rows that repeat an id are candidates one by one,
 but never for a query of that id, and queries that repeat an id and a vector count once; other columns are not
-read; empty tables give no rows. Components of 2^28 and more after quantising are refused.
+read; empty tables give no rows. A component whose scale * x is no finite double counts as non-finite. Scores
+beyond a long are given as the nearest long; ranks go by the exact ones.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ SHARD_ROWS = 4_096
 BLOCK_QUERIES = 1_024
 SHARDS_PER_TASK = 8
 SCALE = 256
-MOST = 1 << 28
 STEP = 8  # terms that are added between two looks at the bounds
+LONG = 1 << 63
+
+_whole = np.frompyfunc(int, 1, 1)
 
 
 def quantised(vectors: list, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
@@ -43,10 +47,10 @@ def quantised(vectors: list, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray
         if v is not None and None not in v:
             out[i, : len(v)] = v
             kept[i] = np.isfinite(out[i]).all()
-    out = np.floor(out[kept] * scale)
-    if out.size and abs(out).max() >= MOST:
-        raise ValueError(f"a quantised component is {abs(out).max():.0f}; at most {MOST - 1} can be scored")
-    return out, kept
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.floor(out * scale)
+    kept &= np.isfinite(out).all(axis=1)
+    return out[kept], kept
 
 
 class Shard:
@@ -54,46 +58,81 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.terms = ids[order], np.ascontiguousarray(vectors[order].T)
-        self.high = self.terms.max(1) if len(ids) else np.zeros(len(self.terms))
-        self.low = self.terms.min(1) if len(ids) else np.zeros(len(self.terms))
-
-    def search(self, query: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the shard's vectors that may be among the k best, all that reach ``least``."""
-        terms, n = self.terms, len(self.ids)
+        self.ids = ids[order]
+        self.top = abs(vectors).max(0) if len(ids) else np.zeros(vectors.shape[1])
+        self._forms = {np.float64: self._bounded(np.ascontiguousarray(vectors[order].T))}
+
+    @staticmethod
+    def _bounded(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if terms.shape[1] == 0:
+            return terms, terms.sum(1), terms.sum(1)
+        return terms, terms.max(1), terms.min(1)
+
+    def form(self, query: np.ndarray) -> type:
+        """The narrowest numbers in which no sum of this query's products can lose a digit."""
+        width = min(len(query), len(self.top))
+        with np.errstate(over="ignore", invalid="ignore"):
+            reach = 2 * (abs(query[:width]) * self.top[:width]).sum()
+        most = max(abs(query).max(initial=0), self.top.max(initial=0))
+        if reach < 1 << 52:
+            return np.float64
+        return np.int64 if reach < 1 << 61 and most < 1 << 61 else object
+
+    def search(self, query: np.ndarray, own: int, k: int, least: int | None) -> list[tuple[int, int]]:
+        """(-score, id) of the shard's vectors that may be among the k best, of all that reach ``least``."""
+        kind = self.form(query)
+        if kind not in self._forms:
+            wide = self._forms[np.float64][0]
+            self._forms[kind] = self._bounded(_whole(wide) if kind is object else wide.astype(kind))
+        terms, high, low = self._forms[kind]
         width = min(len(query), len(terms))
-        q = query[:width]
-        bound = np.maximum(np.maximum(q * self.high[:width], q * self.low[:width]), 0)
+        q = query[:width] if kind is np.float64 else _whole(query[:width]).astype(kind)
+        high, low = high[:width], low[:width]
+        bound = np.maximum(np.maximum(q * high, q * low), 0)
         order = np.argsort(-bound, kind="stable")
-        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])  # bounds from a place on
-        if rest[0] < least:
-            return self.ids[:0], rest[:0]
+        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], np.zeros(1, dtype=kind)])  # bounds from a place on
+        if least is not None and rest[0] < least:
+            return []
+        # Rows of the query's own id are no candidates, so they may not lift the k-th best score.
+        lo, hi = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
         # Non-essential terms: the last ones whose bounds together stay below the k-th best score.
-        essential = max(int((rest[:-1] >= max(least, 1)).sum()), 1) if width else 0
-        alive = score = None
+        known = 1 if least is None else max(least, 1)
+        essential = max(int((rest[:-1] >= known).sum()), 1) if width else 0
+        places = np.concatenate([np.arange(lo), np.arange(hi, len(self.ids))])
+        alive, score = None, np.zeros(len(self.ids), dtype=kind)
         at = 0
         while at < width:
             some = order[at : min(at + STEP, width)]
-            part = q[some] @ (terms[some] if alive is None else terms[some][:, alive])
-            score = part if score is None else score + part
+            score = score + q[some] @ (terms[some] if alive is None else terms[some][:, alive])
             at += len(some)
-            if alive is None and at >= essential or alive is not None or rest[at] < least:
-                hope = score + rest[at]
-                if at >= width // 2 and len(score) > k and not np.isfinite(least):
-                    least = np.partition(score + self._worst(q, order[at:]), len(score) - k - 1)[len(score) - k - 1]
-                keep = hope >= least
-                alive = np.nonzero(keep)[0] if alive is None else alive[keep]
-                score = score[keep]
-        if score is None:
-            score = np.zeros(n)
-        ids = self.ids if alive is None else self.ids[alive]
-        other = ids != own
-        ids, score = ids[other], score[other]
-        best = np.lexsort((ids, -score))[:k]
-        return ids[best], score[best]
-
-    def _worst(self, q: np.ndarray, terms: np.ndarray) -> float:
-        return float(np.minimum(q[terms] * self.high[terms], q[terms] * self.low[terms]).sum())
+            if alive is not None or at >= essential or least is not None and rest[at] < least:
+                if alive is None:
+                    alive, score = places, score[places]
+                if least is None and at >= width // 2 and len(score) > k:
+                    tail = order[at:]
+                    worst = np.minimum(q[tail] * high[tail], q[tail] * low[tail]).sum()
+                    least = int(np.sort(score + worst)[len(score) - k])
+                if least is not None:
+                    keep = (score + rest[at] >= least).astype(bool)
+                    alive, score = alive[keep], score[keep]
+        if alive is None:
+            alive, score = places, score[places]
+        best = np.argsort(-score, kind="stable")[:k]  # ids stand in their order
+        return [(-int(s), int(v)) for s, v in zip(score[best], self.ids[alive[best]], strict=True)]
+
+
+def _over(score: int) -> bytes:
+    """Bytes that order scores which share their nearest long."""
+    if -LONG <= score < LONG:
+        return b"\x80"
+    size = (abs(score).bit_length() + 7) // 8
+    held = size.to_bytes(4) + abs(score).to_bytes(size)
+    return b"\xff" + held if score > 0 else b"\x00" + bytes(255 - b for b in held)
+
+
+def narrow(vectors: np.ndarray) -> np.ndarray:
+    """In 32 bits where all components fit."""
+    return vectors.astype(np.int32) if abs(vectors).max(initial=0) < 1 << 31 else vectors
 
 
 def packed(rows: DataFrame, name: str, size: int) -> DataFrame:
@@ -109,7 +148,7 @@ def packed(rows: DataFrame, name: str, size: int) -> DataFrame:
                 name: table.column("pack")[:1],
                 "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
                 "width": pa.array([vectors.shape[1]], pa.int32()),
-                "vectors": pa.array([vectors.astype(np.int32).tobytes()], pa.binary()),
+                "vectors": pa.array([narrow(vectors).tobytes()], pa.binary()),
             }
         )
 
@@ -119,7 +158,8 @@ def packed(rows: DataFrame, name: str, size: int) -> DataFrame:
 
 def _unpacked(ids: bytes, width: int, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, dtype=np.int64)
-    return ids, np.frombuffer(vectors, dtype=np.int32).reshape(len(ids), width).astype(np.float64)
+    kind = np.int32 if len(vectors) == 4 * len(ids) * width else np.float64
+    return ids, np.frombuffer(vectors, dtype=kind).reshape(len(ids), width).astype(np.float64)
 
 
 def search(
@@ -145,9 +185,17 @@ def search(
 
         def out():
             if now is not None:
-                rows = [(int(queries[0][i]), int(v), int(s)) for i, found in enumerate(best) for v, s in zip(*found, strict=True)]
-                columns = zip(*rows, strict=True) if rows else [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                rows = [(int(queries[0][i]), v, -s) for i, found in enumerate(best) for s, v in found]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                columns = [
+                    [q for q, _, _ in rows],
+                    [v for _, v, _ in rows],
+                    [min(max(s, -LONG), LONG - 1) for _, _, s in rows],
+                    [_over(s) for _, _, s in rows],
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "score", "over"]
+                )
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -155,21 +203,16 @@ def search(
                     yield from out()
                     now = row["block"]
                     queries = _unpacked(row["q_ids"], row["q_width"], row["q_vectors"])
-                    best = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(queries[0])
+                    best = [[] for _ in queries[0]]
                 shard = Shard(*_unpacked(row["ids"], row["width"], row["vectors"]))
                 for i, (own, query) in enumerate(zip(*queries, strict=True)):
-                    ids, scores = best[i]
-                    least = scores[k - 1] if len(ids) >= k else -np.inf
-                    new, gained = shard.search(query, own, k, least)
-                    if len(new):
-                        ids, scores = np.concatenate([ids, new]), np.concatenate([scores, gained])
-                        order = np.lexsort((ids, -scores))[:k]
-                        best[i] = ids[order], scores[order]
+                    least = -best[i][k - 1][0] if len(best[i]) >= k else None
+                    best[i] = sorted(best[i] + shard.search(query, own, k, least))[:k]
         yield from out()
 
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("over"), "vec_id"))
     return (
-        dealt.mapInArrow(run, "query_id long, vec_id long, score long")
+        dealt.mapInArrow(run, "query_id long, vec_id long, score long, over binary")
         .withColumn("rank", place)
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
