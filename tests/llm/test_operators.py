@@ -145,6 +145,30 @@ def test_topk_is_exact(spark):
     assert topk.search(frame.where("false"), frame.vec_id % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e3, 1e6, 1e9, 1e18, 1e37])
+def test_topk_is_exact_for_any_size(spark, size):
+    """Sums past 2^53 and past a long, best scores below zero, and a query id that fills the top itself."""
+    rng = np.random.default_rng(9)
+    values = np.concatenate([rng.uniform(-size, size, (60, 24)), -rng.uniform(size / 2, size, (20, 24))])
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(values)] + [(50, [float(size)] * 24, 0)] * 8
+    rows += [(200, [abs(float(x)) for x in values[3]], 0), (201, [], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows]
+    expected = set()
+    for q, v in {(i, tuple(v)) for i, v in whole if i % 50 == 0 and i != 50}:
+        sums = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in whole if i != q)[:5]
+        expected |= {(q, n + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, i) in enumerate(sums)}
+    found = topk.search(frame, (frame.vec_id % 50 == 0) & (frame.vec_id != 50)).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in found} == expected and len(found) == 10
+
+
+def test_topk_own_id_does_not_lift_the_bar():
+    ids = np.array([7] * 9 + [1, 2, 3])
+    vectors = np.concatenate([np.full((9, 4), 50.0), np.arange(12.0).reshape(3, 4)])
+    found = topk.Shard(ids, vectors).search(np.full(4, 50.0), 7, 2, None)
+    assert found == [(-50 * 38, 3), (-50 * 22, 2)]
+
+
 def test_caps_link_what_brute_force_links(spark):
     rows = vectors()
     frame = spark.createDataFrame(rows, VECTORS)
@@ -233,6 +257,27 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(frame.where("false")).count() == 0
 
 
+def test_warc_repeated_ids_and_damage(spark, tmp_path):
+    body, other = "x" * 150, "y" * 150
+    rows = [(2, "u", body), (2, "u", body), (4, None, body), (4, "u", other), (7, "u", other), (None, "u", body)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = sorted((r.page_id, r.payload_digest[:4], r.record_type, r.refers_to) for r in warc.round_trip(frame).collect())
+    x, y = (hashlib.sha256(b.encode()).hexdigest()[:4] for b in (body, other))
+    assert found == sorted([(2, x, "response", None)] * 2 + [(4, x, "revisit", 2), (4, y, "response", None), (7, y, "revisit", 4)])
+
+    warc.write(warc.headers(frame), str(tmp_path / "good"))
+    (tmp_path / "bad").mkdir()
+    for n, file in enumerate((tmp_path / "good").glob("*.txt.gz")):
+        data = warc.gzip.decompress(file.read_bytes()).replace(b"yyyy", b"yyzy", 1)
+        assert b"Content-Type: text/html" in data
+        (tmp_path / "bad" / f"{n}.txt.gz").write_bytes(warc.gzip.compress(data))
+    read = warc.resolved(warc.read(spark, str(tmp_path / "bad"))).collect()
+    assert sorted((r.page_id, r.record_type, r.intact, r.length) for r in read) == sorted(
+        [(2, "response", True, 150)] * 2 + [(4, "revisit", True, 150), (4, "response", False, 150), (7, "revisit", False, None)],
+        key=lambda r: (r[0], r[1], r[2]),
+    )
+
+
 def test_language_of_held_out_texts(spark, none):
     said = {"en": "the quick brown fox jumps over the lazy dog and runs", "de": "der schnelle braune fuchs springt und läuft davon",
             "ru": "быстрая лиса прыгает"}

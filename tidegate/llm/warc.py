@@ -4,23 +4,27 @@ Headers (id, digest, length) are shuffled by payload digest; of records with equ
 long enough, the smallest id keeps its payload as ``response`` and the others become ``revisit``
 records that name it. Archives are written by Spark's text sink with two line ends as the line
 separator, which is how WARC ends a record, and are read back file by file and cut by Content-Length.
-Reading resolves the revisits again: their headers are joined to the original responses by the
-record they refer to, so payload and length come from there.
+Reading takes the digest of every payload anew and resolves the revisits: their headers are joined to
+the original responses by the record they refer to and that digest, so payload and length come from there.
 
 Payloads never pass a shuffle when records are typed: digests are computed by the scan, and only
-headers meet. A digest that a third of all records share is pre-aggregated per task, and its join is
+headers meet. They pass one when they are written, where each is joined to what it refers to, if that side is too
+large to broadcast. A digest that a third of all records share is pre-aggregated per task, and its join is
 one that Spark splits.
 
 Cases: a null payload counts as empty; payloads under ``SHORTEST`` bytes are always responses; a null
 url is left out of the header; line ends inside a url are dropped; rows with a null id are left out of
 the archives and of the result; rows that repeat an id are records of their own, and those with the payload of the first
-response of their id refer to nothing, being that response; empty tables
+response of their id refer to nothing, being that response, and are one original to those that refer to it. A response
+whose bytes do not have the digest of its header is not ``intact``: it shows the digest of its bytes, and so is no original, and
+revisits without an original are not ``intact`` either and have no length. Empty tables
 give an empty archive. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +36,9 @@ from tidegate.session import shared_dir
 SHORTEST = 100
 RECORDS_PER_FILE = 2_000
 PREFIX = "urn:page:"
-DATE = "2024-01-01T00:00:00Z"
 END = "\r\n"
 
-RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, length long, payload binary"
+RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, length long, intact boolean, payload binary"
 
 
 def headers(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
@@ -77,7 +80,7 @@ def _record(payload: Column) -> Column:
         F.lit(f"WARC/1.1{END}"),
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", F.concat(F.lit(f"<{PREFIX}"), F.col("page_id").cast("string"), F.lit(">"))),
-        line("WARC-Date", F.lit(DATE)),
+        line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]", "")), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(
@@ -87,6 +90,7 @@ def _record(payload: Column) -> Column:
                 line("WARC-Refers-To", F.concat(F.lit(f"<{PREFIX}"), F.col("refers_to").cast("string"), F.lit(">"))),
             ),
         ).otherwise(F.lit("")),
+        line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("length")).cast("string")),
         F.lit(END),
     )
@@ -133,20 +137,25 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         number = lambda text: int(text.strip("<>").removeprefix(PREFIX)) if text else None
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                rows = [
-                    (
-                        number(f["WARC-Record-ID"]),
-                        f.get("WARC-Target-URI"),
-                        f["WARC-Type"],
-                        number(f.get("WARC-Refers-To")),
-                        f["WARC-Payload-Digest"].removeprefix("sha256:"),
-                        len(body),
-                        body if payloads else None,
+                rows = []
+                for f, body in parse(data):
+                    said = f["WARC-Payload-Digest"].removeprefix("sha256:")
+                    plain = f["WARC-Type"] != "revisit"
+                    digest = hashlib.sha256(body).hexdigest() if plain else said
+                    rows.append(
+                        (
+                            number(f["WARC-Record-ID"]),
+                            f.get("WARC-Target-URI"),
+                            f["WARC-Type"],
+                            number(f.get("WARC-Refers-To")),
+                            digest,
+                            len(body),
+                            digest == said if plain else None,
+                            body if payloads else None,
+                        )
                     )
-                    for f, body in parse(data)
-                ]
-                names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "length", "payload"]
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+                names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "length", "intact", "payload"]
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary())
                 columns = zip(*rows, strict=True) if rows else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -156,16 +165,16 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 def resolved(records: DataFrame) -> DataFrame:
     """Revisit records with length and payload of the response that they refer to."""
-    originals = records.where("record_type = 'response'").select(
-        F.col("page_id").alias("refers_to"),
-        "payload_digest",
-        F.col("length").alias("_length"),
-        F.col("payload").alias("_payload"),
+    originals = (
+        records.where("record_type = 'response'")
+        .groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
+        .agg(F.min("length").alias("length"), F.first("payload").alias("payload"))
+        .withColumn("intact", F.lit(True))
     )
     plain = records.where("record_type <> 'revisit'")
-    found = records.where("record_type = 'revisit'").drop("length", "payload")
-    found = found.join(originals, ["refers_to", "payload_digest"], "left")
-    return plain.unionByName(found.withColumnsRenamed({"_length": "length", "_payload": "payload"}))
+    found = records.where("record_type = 'revisit'").drop("length", "payload", "intact")
+    found = found.join(originals, ["refers_to", "payload_digest"], "left").fillna(False, ["intact"])
+    return plain.unionByName(found)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
