@@ -63,6 +63,34 @@ def test_stream_split_and_counts(spark, tmp_path):
     assert {r.label: r.prompts for r in counts.collect()} == {r.label: r["count"] for r in want.collect()}
 
 
+def test_counts_keep_few_versions_and_survive_restarts(spark, tmp_path):
+    path, home = prompt_files(spark, tmp_path, files=7), str(tmp_path / "counts")
+    raw = spark.read.parquet(path)
+
+    def run():
+        stream = stream_prompts(spark, path, files_per_trigger=1).withColumn("day", F.expr("nullif(length(prompt_id), 1)"))
+        return jobs.count_to_table(stream, build("default"), "day", home=home)
+
+    def batch():
+        prompts = accepted(spark.read.parquet(path)).withColumn("day", F.expr("nullif(length(prompt_id), 1)"))
+        return screen(prompts, build("default")).groupBy("day", "label", "code").agg(F.count(F.lit(1)).alias("prompts"))
+
+    assert rows(run()) == rows(batch())
+    versions = sorted((tmp_path / "counts" / "counts").glob("batch=*"), key=lambda p: int(p.name[6:]))
+    assert [p.name for p in versions] == ["batch=5", "batch=6"]
+    # A version that a crash left unfinished is neither read nor built on.
+    (tmp_path / "counts" / "counts" / "batch=7").mkdir()
+    raw.limit(5).withColumn("prompt_id", F.concat(F.lit("again"), "prompt_id")).coalesce(1).write.mode("append").parquet(path)
+    assert rows(run()) == rows(batch())
+    assert rows(run()) == rows(batch())
+
+
+def test_counts_of_an_empty_stream(spark, tmp_path):
+    path = str(tmp_path / "none")
+    spark.createDataFrame([], "prompt_id string, text string, session_id string").write.parquet(path)
+    assert jobs.count_to_table(stream_prompts(spark, path), build("default"), home=str(tmp_path / "c")).count() == 0
+
+
 class FakeSession:
     """``spark.checkpoint.dir`` is fixed when a session starts, so the lookup gets a stand-in."""
 

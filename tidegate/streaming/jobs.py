@@ -13,7 +13,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tidegate.operators.intake import accepted
 from tidegate.operators.reports import verdict_counts
@@ -68,20 +67,44 @@ def split_to_tables(prompts: DataFrame, home: str | None = None,
     return accepted_rows, rows.where(F.col("outcome") == "rejected").drop("outcome")
 
 
-def count_to_table(prompts: DataFrame, stages: Sequence[Stage], *dimensions: str,
-                   home: str | None = None, trigger: dict[str, Any] | None = None) -> DataFrame:
-    """Running verdict counts. Each micro-batch writes all counts under its own number, and the last
-    number is the result, so neither a reader nor a crash ever meets half a table."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions of a table, lowest first."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
+    return sorted(int(status.getPath().getParent().getName().removeprefix("batch=")) for status in found or [])
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def count_to_table(prompts: DataFrame, stages: Sequence[Stage], *dimensions: str, home: str | None = None,
+                   trigger: dict[str, Any] | None = None, keep: int = 2) -> DataFrame:
+    """Running verdict counts. A micro-batch yields the new counts of the keys that it touched; they are laid over
+    the newest version before its own number and written under that number, and versions before the
+    last ``keep`` go. A batch that is retried starts from the same version again, and a reader takes the newest
+    finished one, so neither ever meets half a table, and the table never holds more than ``keep`` versions."""
     spark = prompts.sparkSession
     home = home or shared_dir(spark, "counts")
+    table = f"{home}/counts"
     counts = verdict_counts(screen(accepted(prompts), stages), *dimensions)
+    shape, keys = counts.schema, [*dimensions, "label", "code"]
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{home}/counts/batch={number}")
-
-    _run(counts.writeStream.outputMode("complete").foreachBatch(write), home, trigger)
-    _made(spark, f"{home}/counts")
-    shape = StructType([*counts.schema.fields, StructField("batch", LongType())])
-    every = spark.read.schema(shape).option("basePath", f"{home}/counts").parquet(f"{home}/counts")
-    last = every.agg(F.max("batch")).first()[0]
-    return every.where(F.col("batch") == F.lit(last)).drop("batch")
+        session = batch.sparkSession
+        older = [n for n in _versions(session, table) if n < number]
+        rows = batch.withColumn("_age", F.lit(1))
+        if older:
+            before = session.read.schema(shape).parquet(f"{table}/batch={older[-1]}")
+            rows = rows.unionByName(before.withColumn("_age", F.lit(0)))
+        merged = rows.groupBy(*keys).agg(F.max_by("prompts", "_age").alias("prompts"))
+        merged.coalesce(1).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        for n in older[: max(0, len(older) + 1 - max(keep, 2))]:
+            _forget(session, f"{table}/batch={n}")
+
+    _run(counts.writeStream.outputMode("update").foreachBatch(write), home, trigger)
+    last = _versions(spark, table)[-1:]
+    if not last:
+        return spark.createDataFrame([], shape)
+    return spark.read.schema(shape).parquet(f"{table}/batch={last[0]}")
