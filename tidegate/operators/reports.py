@@ -7,9 +7,10 @@ key is.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions.labels import gate, normalise_label
@@ -53,6 +54,17 @@ def stage_funnel(inspected: DataFrame) -> DataFrame:
     return rows.groupBy("stage").agg(*counts)
 
 
+def observed_funnel(spark: SparkSession, stages: Sequence[Any], seen: Mapping[str, Any]) -> DataFrame:
+    """The counts of :func:`stage_funnel`, with the milliseconds of timed stages, from an observation."""
+    names = ("executed", "skipped", "blocked", "failed")
+    rows = [
+        (stage.name, *(int(seen[f"{name}_{order}"] or 0) for name in names), seen[f"stage_ms_{order}"])
+        for order, stage in enumerate(stages)
+    ]
+    shape = ", ".join(f"{name} long" for name in names)
+    return spark.createDataFrame(rows, f"stage string, {shape}, stage_ms double")
+
+
 def top_triggers(verdicts: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent triggers, ties in alphabetical order."""
     trigger = F.col("data.metadata")["triggered_by"]

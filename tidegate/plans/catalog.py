@@ -13,6 +13,7 @@ from tidegate.operators import intake, reports
 from tidegate.operators import trace as tracing
 from tidegate.operators import verdict as verdicts
 from tidegate.operators.dictionary import PROBE_ROWS, first_keywords
+from tidegate.operators.pattern_table import first_hits, pattern_hits
 from tidegate.operators.rules import (
     all_keywords,
     all_patterns,
@@ -31,7 +32,7 @@ from tidegate.operators.scoring import (
     parse_json,
 )
 from tidegate.plans import seeds
-from tidegate.plans.chain import inspect, screen, stage_results
+from tidegate.plans.chain import inspect, screen, screen_observed, stage_results
 from tidegate.plans.profiles import build
 from tidegate.plans.stages import (
     ColumnStage,
@@ -189,6 +190,16 @@ def dictionary_odd_keywords(spark, sf_dir):
     return first_keywords(_whole(spark, sf_dir), banks).select("prompt_id", "crisis", "odd")
 
 
+def pattern_table_hits(spark, sf_dir):
+    """Every pattern of a table that grows with the benchmark passages, on every document."""
+    return pattern_hits(_whole(spark, sf_dir), seeds.pattern_frame(spark, sf_dir)).select("prompt_id", "id", "error")
+
+
+def pattern_table_first(spark, sf_dir):
+    """The first of them in the table's order."""
+    return first_hits(pattern_hits(_whole(spark, sf_dir), seeds.pattern_frame(spark, sf_dir)))
+
+
 def rule_stage(spark, sf_dir):
     rows = stage_results(_accepted(spark, sf_dir), [RuleStage(Banks.load())])
     return rows.select(
@@ -563,6 +574,14 @@ def stage_funnel(spark, sf_dir):
     return reports.stage_funnel(_full_inspected(spark, sf_dir))
 
 
+def observed_funnel(spark, sf_dir):
+    """The same counts, met in passing while the verdicts are written."""
+    stages = _full_stages()
+    verdict_table, seen = screen_observed(_predicted(spark, sf_dir), stages)
+    verdict_table.write.parquet(shared_dir(spark, "verdicts"))
+    return reports.observed_funnel(spark, stages, seen.get).drop("stage_ms")
+
+
 def top_triggers(spark, sf_dir):
     prompts = intake.accepted(seeds.all_prompts(spark, sf_dir))
     return reports.top_triggers(screen(prompts, build("default")), 10)
@@ -631,6 +650,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bank_inventory": bank_inventory,
     "pattern_first_hit": pattern_first_hit,
     "pattern_all_hits": pattern_all_hits,
+    "pattern_table_hits": pattern_table_hits,
+    "pattern_table_first": pattern_table_first,
     "crisis_first_hit": crisis_first_hit,
     "malign_first_hit": malign_first_hit,
     "keyword_all_hits": keyword_all_hits,
@@ -667,6 +688,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "verdict_rollup": verdict_rollup,
     "verdict_counts": verdict_counts,
     "stage_funnel": stage_funnel,
+    "observed_funnel": observed_funnel,
     "top_triggers": top_triggers,
     "length_profile": length_profile,
     "unmapped_labels": unmapped_labels,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidegate.functions.plan import computed
@@ -60,6 +60,34 @@ def screen(prompts: DataFrame, stages: Sequence[Stage], short_circuit: bool = Tr
     return ran.select(*_passengers(prompts), *verdict)
 
 
+def screen_observed(
+    prompts: DataFrame, stages: Sequence[Stage], short_circuit: bool = True
+) -> tuple[DataFrame, Observation]:
+    """Verdicts, and what each stage did, counted in passing by the first action on them.
+
+    ``reports.observed_funnel`` reads the counts; asking for them waits for that action. As in the trace, no
+    stage counts as executed for a prompt that failed.
+    """
+    ran = run_stages(prompts, stages, short_circuit)
+    ran = ran.withColumn(_BEST, merge_wide(_results(len(stages))))
+    counts = []
+    for order, result in enumerate(_results(len(stages))):
+        error = F.col(_out(order))["error"]
+        done = result.isNotNull() & F.col(_FAIL).isNull()
+        seen = {
+            "executed": F.count_if(done),
+            "skipped": F.count_if(~done),
+            "blocked": F.count_if(done & F.coalesce(result["short_circuit"], F.lit(False))),
+            "failed": F.count_if(F.coalesce(error.isNotNull(), F.lit(False))),
+            "stage_ms": F.sum(result["duration_ms"]),
+        }
+        counts += [column.alias(f"{name}_{order}") for name, column in seen.items()]
+    observation = Observation()
+    ran = ran.observe(observation, *counts)
+    verdict = verdict_columns(F.col(_BEST), F.col(_FAIL).isNotNull(), F.col("text"))
+    return ran.select(*_passengers(prompts), *verdict), observation
+
+
 def inspect(prompts: DataFrame, stages: Sequence[Stage], short_circuit: bool = True) -> DataFrame:
     """Verdicts plus ``trace``, ``skipped_stages``, ``total_stages``, ``total_duration_ms`` and, for
     the reports only, ``failed_stage``."""

@@ -280,6 +280,22 @@ def _all_patterns() -> str:
     return f"""SELECT prompt_id, concat_ws(',', {ids}) AS hits FROM {_whole(_EVERYTHING)}"""
 
 
+def _pattern_table() -> str:
+    """Documents and the patterns of the table that they match."""
+    fixed = [*seeds.PROSE_PATTERNS, (seeds.CONDITIONAL[0], seeds.CONDITIONAL[2])]
+    plain = " UNION ALL ".join(
+        f"SELECT prompt_id, '{name}' AS id, {n} AS ord FROM d WHERE {_matches('l', body)}" for n, (name, body) in enumerate(fixed)
+    )
+    return f"""WITH d AS (SELECT prompt_id, l FROM {_whole(_docs())}),
+        w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+        places AS (SELECT item_id, w, unnest(range(len(w) - 2)) AS z FROM w),
+        p AS (SELECT 'b' || item_id || '-' || z AS id, 1000 + 1000000 * CAST(item_id AS BIGINT) + z AS ord,
+            w[z + 1] AS a, w[z + 2] AS b, w[z + 3] AS c FROM places),
+        hits AS ({plain} UNION ALL SELECT prompt_id, id, ord FROM d JOIN p
+            ON contains(l, a) AND contains(l, b) AND contains(l, c)
+            AND regexp_matches(l, '(^|[^a-z])' || a || '[^a-z]+' || b || '[^a-z]+' || c || '($|[^a-z])')) """
+
+
 _RAW = f"""(SELECT CAST(doc_id AS VARCHAR) AS prompt_id, {seeds.CLINICAL_LABEL} AS raw_label,
     {seeds.CLINICAL_SCORE} AS score FROM documents)"""
 _MAPPED = f"(SELECT *, {_case('raw_label', CLINICAL_LABELS, _quoted('Valid'))} AS mapped FROM {_RAW})"
@@ -421,6 +437,8 @@ ORACLES: dict[str, str] = {
         FROM usage GROUP BY bank, category""",
     "pattern_first_hit": f"SELECT prompt_id, bp AS hit FROM {_rules(_docs(), _whole)}",
     "pattern_all_hits": _all_patterns(),
+    "pattern_table_hits": _pattern_table() + "SELECT DISTINCT prompt_id, id, CAST(NULL AS VARCHAR) AS error FROM hits",
+    "pattern_table_first": _pattern_table() + "SELECT prompt_id, arg_min(id, ord) AS id FROM hits GROUP BY prompt_id",
     "crisis_first_hit": f"SELECT prompt_id, ck AS hit FROM {_rules(_docs(), _whole)}",
     "malign_first_hit": f"SELECT prompt_id, mk AS hit FROM {_rules(_docs(), _whole)}",
     "keyword_all_hits": f"""SELECT prompt_id, array_to_string({_all_keywords('l', seeds.prose_bank())}, '|') AS hits
@@ -482,6 +500,12 @@ ORACLES: dict[str, str] = {
         FROM (SELECT stage, 1 AS x, CAST(short_circuit AS INTEGER) AS b, 0 AS s, 0 AS f FROM trace
             UNION ALL SELECT stage, 0, 0, 1, CASE WHEN stage = bad_stage THEN 1 ELSE 0 END FROM skipped)
         GROUP BY stage""",
+    "observed_funnel": f"""WITH trace AS ({_TRACE}), skipped AS {_SKIPPED}
+        SELECT stage, CAST(sum(x) AS BIGINT) AS executed, CAST(sum(b) AS BIGINT) AS blocked,
+            CAST(sum(s) AS BIGINT) AS skipped, CAST(sum(f) AS BIGINT) AS failed
+        FROM (SELECT stage, 1 AS x, CAST(short_circuit AS INTEGER) AS b, 0 AS s, 0 AS f FROM trace
+            UNION ALL SELECT stage, 0, 0, 1, CASE WHEN stage = bad_stage THEN 1 ELSE 0 END FROM skipped)
+        GROUP BY stage""",
     "top_triggers": f"""SELECT triggered_by, label, count(*) AS prompts FROM {_default()}
         WHERE triggered_by IS NOT NULL GROUP BY triggered_by, label ORDER BY prompts DESC, triggered_by, label LIMIT 10""",
     "length_profile": f"""SELECT label, count(*) AS prompts, CAST(min(n) AS INTEGER) AS min_chars,

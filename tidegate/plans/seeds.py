@@ -149,6 +149,27 @@ def prose_patterns() -> PatternBank:
     )
 
 
+#: A pattern that the JVM has no form for, and the same as RE2 takes it.
+CONDITIONAL = ("CONDITIONAL", r"(un )?le(?(1) la| ou)", r"un le la|le ou")
+
+#: Three neighbouring words of a passage, as a pattern.
+PHRASE = "concat('(?:^|[^a-z])', w[i], '[^a-z]+', w[i + 1], '[^a-z]+', w[i + 2], '(?:$|[^a-z])')"
+
+
+def pattern_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, ord, pattern): the prose patterns, the conditional one and every phrase of the benchmark passages."""
+    fixed = [*PROSE_PATTERNS, CONDITIONAL[:2]]
+    first = spark.createDataFrame([(name, n, body) for n, (name, body) in enumerate(fixed)], "id string, ord long, pattern string")
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)").alias("w"))
+    at = words.select("item_id", "w", F.expr("explode(sequence(0, size(w) - 3))").alias("i")).where("size(w) >= 3")
+    phrases = at.select(
+        F.expr("concat('b', item_id, '-', i)").alias("id"),
+        F.expr("1000 + 1000000 * CAST(item_id AS BIGINT) + i").alias("ord"),
+        F.expr(PHRASE).alias("pattern"),
+    )
+    return first.unionByName(phrases)
+
+
 # --- classifiers that SQL can check -------------------------------------------------------------
 
 
