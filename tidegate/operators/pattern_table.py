@@ -29,7 +29,7 @@ from tidegate.session import broadcast_if_small, shared_dir, ship
 
 LONG_RUN, SHORT_RUN = 6, 3
 ROWS_AT_ONCE = 64  # texts that cross to Python's matcher together
-_COMPILED = "id string, ord long, pattern string, regex string, folded boolean, runs array<string>, error string"
+_COMPILED = "n long, id string, ord long, pattern string, regex string, folded boolean, runs array<string>, error string"
 
 
 class Searcher:
@@ -66,19 +66,22 @@ def _compile(name: str | None, pattern: str | None) -> tuple:
 
 
 def compiled(patterns: DataFrame) -> DataFrame:
-    """(id, ord, pattern) with the form each pattern is tried in; written, for it is read more than once."""
+    """(n, id, ord, pattern), numbered anyhow, with the form each pattern is tried in; written, for it is read more than once."""
     spark = patterns.sparkSession
     ship(spark)
 
+    names = ["n", "id", "ord", "pattern", "regex", "folded", "runs", "error"]
+
     def compile_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_compile(*pair) for pair in zip(*(batch.column(i).to_pylist() for i in (0, 2)), strict=True)]
+            rows = [_compile(*pair) for pair in zip(*(batch.column(i).to_pylist() for i in (1, 3)), strict=True)]
             kinds = (pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string())
             more = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], ["id", "ord", "pattern", "regex", "folded", "runs", "error"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
 
     path = shared_dir(spark, "patterns")
-    slim = patterns.select(F.col("id").cast("string"), F.col("ord").cast("long"), F.col("pattern").cast("string"))
+    number = F.monotonically_increasing_id().alias("n")
+    slim = patterns.select(number, F.col("id").cast("string"), F.col("ord").cast("long"), F.col("pattern").cast("string"))
     slim.mapInArrow(compile_all, _COMPILED).write.parquet(path)
     table = spark.read.schema(_COMPILED).parquet(path)
     for bad in table.where(F.col("error").isNotNull()).limit(1).collect():
@@ -87,8 +90,9 @@ def compiled(patterns: DataFrame) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """(key, ids): the patterns whose runs a text holds."""
-    index = table.select("id", F.explode("runs").alias("run")).distinct()
+    """(key, found): numbers of the patterns whose runs a text holds."""
+    texts = with_matchable(texts)
+    index = table.select("n", F.explode("runs").alias("run")).distinct()
     sizes = sorted(row[0] for row in index.select(F.length("run")).distinct().collect())  # at most three
     cuts = [
         F.array_distinct(F.regexp_extract_all(F.col(FOLDED), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) if n else F.array(F.lit(""))
@@ -96,7 +100,7 @@ def _candidates(texts: DataFrame, table: DataFrame, key: str) -> DataFrame:
     ]
     runs = F.concat(*cuts) if cuts else F.array().cast("array<string>")
     met = texts.select(key, F.explode(runs).alias("run")).join(broadcast_if_small(index)[0], "run")
-    return met.groupBy(key).agg(F.collect_set("id").alias("ids"))
+    return met.groupBy(key).agg(F.collect_set("n").alias("found"))
 
 
 def pattern_hits(prompts: DataFrame, patterns: DataFrame, key: str = "prompt_id", timeout_s: float = 1.0) -> DataFrame:
@@ -104,9 +108,10 @@ def pattern_hits(prompts: DataFrame, patterns: DataFrame, key: str = "prompt_id"
     pattern that could not be tried on it in time."""
     table = compiled(patterns)
     texts = prompts.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text")
-    texts = with_matchable(texts).drop("text")
-    side = broadcast_if_small(table.select("id", "ord", "pattern", "regex", "folded"))[0]
-    tried = texts.join(_candidates(texts, table, key), key).withColumn("id", F.explode("ids")).drop("ids").join(side, "id")
+    side = broadcast_if_small(table.select("n", "id", "ord", "pattern", "regex", "folded"))[0]
+    # The text alone meets its candidates; it is lowered again behind the shuffle, which would carry it twice.
+    met = with_matchable(texts.join(_candidates(texts, table, key), key)).drop("text")
+    tried = met.withColumn("n", F.explode("found")).drop("found").join(side, "n")
     matched = F.when(F.col("folded"), F.rlike(F.col(FOLDED), F.col("regex"))).otherwise(F.rlike(F.col(LOWERED), F.col("regex")))
     native = tried.where(F.col("regex").isNotNull()).where(matched).select(key, "id", "ord", F.lit(None).cast("string").alias("error"))
     hits = native
