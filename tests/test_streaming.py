@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tidegate.errors import ResourceError
 from tidegate.operators import verdict as verdicts
 from tidegate.operators.intake import accepted, rejected
-from tidegate.plans import seeds
+from tidegate.plans import catalog, seeds
 from tidegate.plans.chain import screen
 from tidegate.plans.profiles import build
 from tidegate.plans.stages import DictionaryRuleStage
@@ -91,6 +91,12 @@ def test_counts_of_an_empty_stream(spark, tmp_path):
     assert jobs.count_to_table(stream_prompts(spark, path), build("default"), home=str(tmp_path / "c")).count() == 0
 
 
+def test_stream_queries_read_tables_that_are_folders(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    folder, file = catalog.stream_counts(spark, str(tmp_path)), catalog.stream_counts(spark, SF)
+    assert rows(folder) == rows(file) and folder.count() > 0
+
+
 class FakeSession:
     """``spark.checkpoint.dir`` is fixed when a session starts, so the lookup gets a stand-in."""
 

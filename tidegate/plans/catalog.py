@@ -605,11 +605,8 @@ def gate_report(spark, sf_dir):
 def _document_stream(spark, sf_dir, text):
     """The documents file as a stream, shaped like :func:`seeds.document_prompts`."""
     schema = seeds.table(spark, sf_dir, "documents").schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
+    # A glob takes the table as one file or as a folder of files.
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/documents.parque[t]")
     return seeds.prompts_of(stream, text)
 
 
