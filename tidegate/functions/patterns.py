@@ -107,15 +107,14 @@ def to_jvm(name: str, pattern: str) -> JvmPattern:
     return JvmPattern(f"(?iu){body}", False, ())
 
 
-def needed(name: str, pattern: str) -> tuple[str, ...]:
-    """ASCII literals of which every match, in folded text, contains at least one; empty if there are none."""
+def needed(name: str, pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Clauses, the most telling first: ASCII literals of which every match, in folded text, contains at least one."""
     try:
         re.compile(pattern, re.IGNORECASE | re.UNICODE)
         tree = _parser.parse(pattern, re.IGNORECASE | re.UNICODE)
     except (re.error, ValueError, OverflowError, RecursionError) as exc:
         raise ResourceError(f"pattern {name}", exc) from exc
-    clauses = [clause for clause in _ranked(_clauses(tree)) if all(x.isascii() and len(x) >= 3 for x in clause)]
-    return tuple(sorted(clauses[0])) if clauses else ()
+    return tuple(tuple(sorted(clause)) for clause in _ranked(_clauses(tree)) if all(x.isascii() for x in clause))
 
 
 def _literal(code: int) -> str:

@@ -2,7 +2,7 @@
 
 Every match of most patterns holds one of a few literals. One short run of letters of each literal goes into
 an index; a text is cut into all its runs of that length, and an equi-join gives the patterns a text may
-match, which are then tried on it. A pattern without such a literal is tried on every text. Patterns
+match, which are then tried on it if it holds their other literals as well. A pattern without such a literal is tried on every text. Patterns
 that the JVM cannot run safely are tried by Python's matcher, in a process that is ended when one text takes
 too long; such a text carries an error.
 
@@ -29,7 +29,7 @@ from tidegate.session import broadcast_if_small, shared_dir, ship
 
 LONG_RUN, SHORT_RUN = 6, 3
 ROWS_AT_ONCE = 64  # texts that cross to Python's matcher together
-_COMPILED = "n long, id string, ord long, pattern string, regex string, folded boolean, runs array<string>, error string"
+_COMPILED = "n long, id string, ord long, pattern string, regex string, folded boolean, runs array<string>, error string, clauses array<array<string>>"
 
 
 class Searcher:
@@ -51,18 +51,21 @@ def _run(literal: str) -> str:
 
 
 def _compile(name: str | None, pattern: str | None) -> tuple:
-    """(regex or None for Python's matcher, folded, runs of which every match holds one, error)."""
+    """(regex or None for Python's matcher, folded, runs of which every match holds one, error, clauses of
+    each of which every match holds one literal)."""
     if name is None or pattern is None:
-        return None, None, None, "no id or no pattern"
+        return None, None, None, "no id or no pattern", None
     try:
-        runs = sorted({_run(literal) for literal in needed(name, pattern)}) or [""]
+        clauses = needed(name, pattern)
     except ResourceError as exc:
-        return None, None, None, str(exc)
+        return None, None, None, str(exc), None
+    indexed = next((clause for clause in clauses if min(map(len, clause)) >= SHORT_RUN), ())
+    runs = sorted({_run(literal) for literal in indexed}) or [""]
     try:
         jvm = to_jvm(name, pattern)
     except ResourceError:
-        return None, None, runs, None
-    return jvm.regex, jvm.folded, runs, None
+        return None, None, runs, None, clauses
+    return jvm.regex, jvm.folded, runs, None, clauses
 
 
 def compiled(patterns: DataFrame) -> DataFrame:
@@ -70,12 +73,12 @@ def compiled(patterns: DataFrame) -> DataFrame:
     spark = patterns.sparkSession
     ship(spark)
 
-    names = ["n", "id", "ord", "pattern", "regex", "folded", "runs", "error"]
+    names = ["n", "id", "ord", "pattern", "regex", "folded", "runs", "error", "clauses"]
 
     def compile_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_compile(*pair) for pair in zip(*(batch.column(i).to_pylist() for i in (1, 3)), strict=True)]
-            kinds = (pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string())
+            kinds = (pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.list_(pa.list_(pa.string())))
             more = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
 
@@ -108,10 +111,12 @@ def pattern_hits(prompts: DataFrame, patterns: DataFrame, key: str = "prompt_id"
     pattern that could not be tried on it in time."""
     table = compiled(patterns)
     texts = prompts.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text")
-    side = broadcast_if_small(table.select("n", "id", "ord", "pattern", "regex", "folded"))[0]
+    side = broadcast_if_small(table.select("n", "id", "ord", "pattern", "regex", "folded", "clauses"))[0]
     # The text alone meets its candidates; it is lowered again behind the shuffle, which would carry it twice.
     met = with_matchable(texts.join(_candidates(texts, table, key), key)).drop("text")
-    tried = met.withColumn("n", F.explode("found")).drop("found").join(side, "n")
+    # Literals are looked for before a pattern is compiled and tried, which costs many times as much.
+    held = F.forall("clauses", lambda clause: F.exists(clause, lambda literal: F.contains(FOLDED, literal)))
+    tried = met.withColumn("n", F.explode("found")).drop("found").join(side, "n").where(held)
     matched = F.when(F.col("folded"), F.rlike(F.col(FOLDED), F.col("regex"))).otherwise(F.rlike(F.col(LOWERED), F.col("regex")))
     native = tried.where(F.col("regex").isNotNull()).where(matched).select(key, "id", "ord", F.lit(None).cast("string").alias("error"))
     hits = native
