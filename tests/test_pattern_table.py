@@ -75,3 +75,24 @@ def test_edges(spark, prompts):
     for bad in (("q", 0, "(", None), (None, 0, "a", None), ("q", 0, None, None)):
         with pytest.raises(ResourceError, match="pattern"):
             pattern_hits(prompts("beta"), spark.createDataFrame([bad], SHAPE))
+
+
+def test_letters_of_phrases(spark, prompts):
+    from tidegate.functions.patterns import needed_letters
+
+    phrase = r"(?:^|[^a-z])alpha[^a-z]+beta[^a-z]+of(?:$|[^a-z])"
+    assert needed_letters("p", phrase) == ("alphabetaof",)
+    assert needed_letters("p", r"(?-i:alpha) beta") == ("beta",)
+    table = spark.createDataFrame([("p", 0, phrase, None)], SHAPE)
+    texts = ["alpha, BETA\n of", "alpha beta", "alpha x beta of", "xalpha beta of", "1alpha2beta3of", "of beta alpha", "Ünalpha beta of",
+             *(f"{'z ' * n}alpha  beta of" for n in range(12))]
+    assert found(pattern_hits(prompts(*texts), table)) == brute(texts, [("p", 0, phrase, None)])
+
+
+def test_words_in_another_order_are_no_candidates(spark, prompts):
+    """All words of the phrase stand in the text, but not as neighbours: nothing is left to try."""
+    from tidegate.operators.pattern_table import _candidates, compiled
+
+    table = compiled(spark.createDataFrame([("p", 0, r"(?:^|[^a-z])wonder[^a-z]+stone[^a-z]+garden(?:$|[^a-z])", None)], SHAPE))
+    texts = prompts("garden stone wonder", "stone wonder garden", "a wonder stone garden").select("prompt_id", "text")
+    assert [r.prompt_id for r in _candidates(texts, table, "prompt_id").collect()] == ["p00002"]
