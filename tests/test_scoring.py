@@ -190,3 +190,19 @@ def test_spark_ml_scorer(spark, prompts, banks):
     assert [r.label for r in rows] == ["Crisis", "Valid", "Crisis"]
     assert rows[0].data.metadata["triggered_by"] == "model:lr|raw_label:LABEL_1"
     assert "Python" not in verdicts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_waits_of_hung_texts_overlap(scored):
+    scorer = scored(Batch, 2.0, 1)
+    texts = [name for i in range(16) for name in ("slow", f"a{i}")]
+    start = time.monotonic()
+    got = scorer.score(texts)
+    assert [r[2] for r in got] == ["TimeoutError", None] * 16
+    assert time.monotonic() - start < 30  # 32 s of waits alone, one after another
+    assert all(r[4] >= 2000 for r in got[::2])
+
+
+def test_one_child_where_nothing_hangs(scored):
+    scorer = scored(Batch, 60.0, 2)
+    assert len({r[0] for r in scorer.score([f"a{i}" for i in range(50)])}) == 1
+    assert [r[2] for r in scorer.score([])] == []
