@@ -8,9 +8,9 @@ from tidegate.operators.intake import accepted
 from tidegate.operators.scoring import from_classifier
 from tidegate.plans import seeds
 from tidegate.plans.catalog import QUERIES, _full_stages, _predicted
-from tidegate.plans.chain import inspect, screen
+from tidegate.plans.chain import inspect, screen, stage_results
 from tidegate.plans.profiles import build
-from tidegate.plans.stages import DictionaryRuleStage, semantic_stage
+from tidegate.plans.stages import DictionaryRuleStage, RuleStage, semantic_stage
 
 
 def plan_of(df):
@@ -78,3 +78,12 @@ def test_no_nested_loops_anywhere(spark):
         if not name.startswith("stream"):
             plan = plan_of(query(spark, SF))
             assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_joined_dictionary_stage_shuffles_no_text(spark, banks, prompts):
+    texts = ["i want to kill you", "calm", "i want to kill you", "i wish i was dead"] * 20
+    stage = DictionaryRuleStage(banks.patterns, banks.keyword_frame(spark), max_broadcast_rows=0, max_probe_rows=0)
+    found = stage_results(prompts(*texts), [stage]).select("prompt_id", "label", "triggered_by")
+    assert "first(text" not in plan_of(found)
+    plain = stage_results(prompts(*texts), [RuleStage(banks)]).select("prompt_id", "label", "triggered_by")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)

@@ -58,7 +58,7 @@ def first_keywords_by_join(
     ``banks`` has ``bank``, ``keyword``, ``folded`` and ``words``; all banks share one pass over the
     text. Up to ``max_broadcast_rows`` entries it is broadcast and nothing but the hits is
     shuffled. Beyond, both sides shuffle on the n-gram, with the bank repeated ``salts`` times so
-    that one n-gram found in a third of all prompts is spread out.
+    that one n-gram found in a third of all prompts is spread out, also where these share their key.
     """
     banks = banks.withColumns(
         {
@@ -74,7 +74,7 @@ def first_keywords_by_join(
     if small:
         hits = _rows(grams, key).join(entries, "gram")
     else:
-        salted = _rows(_earliest(grams), key).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+        salted = _rows(_earliest(grams), key).withColumn("salt", F.pmod(F.xxhash64(key, F.spark_partition_id()), F.lit(salts)).cast("int"))
         copies = F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt")
         hits = salted.join(entries.select("*", copies), ["gram", "salt"])
     # The character beyond an affix must be no word character: its run goes on, or the text ends.
@@ -123,7 +123,11 @@ def _grams(prompts: DataFrame, heads: dict[int, list[str] | None], near: int, ke
     runs = computed(with_matchable(prompts), runs=cut).select(key, "runs")
     first_word = F.when(F.get("runs", F.lit(0)).rlike("^[0-9a-z_]"), 1).otherwise(2)
     starts = F.when(first_word <= F.size("runs"), F.sequence(first_word, F.size("runs"), F.lit(2)))
-    runs = runs.withColumn("starts", F.coalesce(starts, F.array().cast("array<int>")))
+    starts = F.coalesce(starts, F.array().cast("array<int>"))
+    if all(first is not None for first in heads.values()):  # one look at each word; lengths then share what is left
+        known = sorted({word for first in heads.values() for word in first})
+        starts = F.filter(starts, lambda start: F.get("runs", start - 1).isin(*known)) if known else starts
+    runs = computed(runs, starts=starts)
 
     def of_length(words: int, first: list[str] | None) -> Column:
         span = 2 * words - 1

@@ -104,7 +104,7 @@ class DictionaryRuleStage:
     ``max_probe_rows`` of them travel with the plan and are looked up where each text is: no join, so the
     stage also runs in streams, and what it reads is read once. More are joined, which streams cannot
     do: hits depend on the text alone, so they come back by its SHA-256, and null and repeated prompt
-    ids get what their own text says.
+    ids get what their own text says. Texts are matched where they are read; nothing but n-grams is shuffled.
     """
 
     patterns: PatternBank
@@ -143,7 +143,7 @@ class DictionaryRuleStage:
         if df.isStreaming:
             raise ResourceError("a bank of this size in a stream: it takes a join by text, which streams cannot do")
         digest = F.sha2(F.col("text").cast("binary"), 256)
-        texts = df.where(active).select(digest.alias("_digest"), "text").dropDuplicates(["_digest"])
+        texts = df.where(active).select(digest.alias("_digest"), "text")
         hits = first_keywords_by_join(texts, self.keywords, self.max_broadcast_rows, key="_digest")
         for bank in ("crisis", "malign"):
             first = F.col(bank) if bank in hits.columns else F.lit(None).cast("string")
