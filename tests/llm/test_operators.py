@@ -289,3 +289,15 @@ def test_language_of_held_out_texts(spark, none):
     assert all(found[i].lang_pred == "und" for i in (500, 501, 502)) and found[503].lang_pred == "de"
     assert all(found[i].lang_pred == lang for i, _, lang, _, _ in rows[:120] if found[i].held_out)
     assert language.identify(none, language.train(none)).count() == 0
+
+
+def test_workers_get_batches_of_bounded_bytes(spark):
+    from tidegate.llm.common import BATCH_BYTES, start
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_pydict({"n": [batch.nbytes]})
+
+    rows = start(spark).range(0, 2000, 1, 1).selectExpr("repeat('x', 20000) AS text")
+    found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 40_000_000 and max(found) < 2 * BATCH_BYTES
