@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from tidegate.llm import bpe, caps, jaccard, language, packing, preference, substring, topk, toxicity, warc
 from tidegate.llm.catalog import VOCABULARY
+from tidegate.llm.tokens import Encoder, Vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -87,6 +88,15 @@ def test_packing_places_every_token_once(docs, none, texts):
     assert packing.packed_digests(none, VOCABULARY).count() == 0
 
 
+def test_plain_texts_are_merged_whole_and_all_texts_as_the_library_does():
+    tokenizer, encoder = Tokenizer.from_file(VOCABULARY), Encoder(Vocabulary.load(VOCABULARY))
+    plain = ["", "It's a text, isn't it?\nI'll say 12 'twas", "é" * 3000, "n" * 3000, "\nx", "½ª²× ¡ß\u00ad1.a"]
+    odd = ["two  blanks", " \n", "a\tb", "a\u00a0b", "a\x00 b", "an <|endoftext|> here", "жук’s 漢字 and\nmore", "x\x85y"]
+    ids = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in plain + odd]
+    assert encoder.encode(plain) == ids[: len(plain)] and encoder.known == {"": b""}
+    assert encoder.encode(odd + plain) == ids[len(plain) :] + ids[: len(plain)]
+
+
 def test_toxicity_bounds_and_held_out(spark, none):
     rows = [(i, ("you are a vile zorgblat " if i % 2 else "a calm walk by the lake ") + f"x{i}", "en", "s", 1) for i in range(300)]
     rows += [(1000, "", None, None, 0), (1001, None, None, None, None), (1002, "zorgblatt vile", "en", "s", 1)]

@@ -3,6 +3,8 @@
 A text is cut before every blank and around every line feed. Where no two white-space characters
 meet, and blanks and line feeds are the only ones, the library's pre-tokenizer cuts at all these
 places too, so pieces can be encoded one by one and kept. Any other text goes to the library whole.
+Without a lexicon, such a text in letters of Latin-1 is merged in one call, which costs less than
+cutting it up and looking up its pieces, most of which are met a few times only.
 """
 
 from __future__ import annotations
@@ -29,6 +31,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+def latin(text: str) -> bool:
+    """Whether all letters are such that all Unicode versions say the same of them."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Vocabulary:
     """Token bytes, merge ranks and special tokens of a byte-level BPE file."""
 
@@ -56,7 +67,7 @@ class Vocabulary:
         self.library.no_padding()
         self.merger = tiktoken.Encoding(
             "byte-bpe",
-            pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+            pat_str=r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s",  # no two white-space characters meet here
             mergeable_ranks=ranks,
             special_tokens={},
         )
@@ -70,17 +81,17 @@ class Vocabulary:
         return _loaded[path]
 
     def merge(self, piece: str) -> bytes:
-        """Ids of one piece as little-endian unsigned 32-bit integers, by exact merging."""
-        try:
-            piece.encode("latin-1")  # letters of which all Unicode versions say the same
-            ids = self.merger.encode_ordinary(piece)
-        except UnicodeEncodeError:
-            ids = self.library.encode(piece, add_special_tokens=False).ids
+        """Ids of one piece, or of a plain text, as little-endian unsigned 32-bit integers, by exact merging."""
+        ids = self.merger.encode_ordinary(piece) if latin(piece) else self.library.encode(piece, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def plain(self, text: str) -> bool:
+        """Whether a text can be cut into pieces; if not, it must go to the library whole."""
+        return not (ODD.search(text) or self.cut_special and self.cut_special.search(text))
+
     def pieces(self, text: str) -> list[str] | None:
         """Pieces that can be encoded one by one; None if the text must be encoded whole."""
-        if ODD.search(text) or self.cut_special and self.cut_special.search(text):
+        if not self.plain(text):
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
@@ -104,6 +115,14 @@ class Encoder:
         return _encoders[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.lexicon is not None:
+            return self._by_pieces(texts)
+        merge, plain = self.vocabulary.merge, self.vocabulary.plain
+        found = [merge(text) if latin(text) and plain(text) else None for text in texts]
+        others = iter(self._by_pieces([text for text, ids in zip(texts, found, strict=True) if ids is None]))
+        return [next(others) if ids is None else ids for ids in found]
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         return [ids for part in groups(texts, GROUP_LETTERS) for ids in self._encode(texts[part])]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
