@@ -1,4 +1,5 @@
 import os
+import subprocess
 import sys
 import threading
 import time
@@ -8,6 +9,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from tidegate.operators import inference
 from tidegate.operators.inference import ChunkScorer, judged
 from tidegate.operators.scoring import fit_words, from_classifier, from_ml_model
 from tidegate.plans.chain import screen, stage_results
@@ -206,3 +208,88 @@ def test_one_child_where_nothing_hangs(scored):
     scorer = scored(Batch, 60.0, 2)
     assert len({r[0] for r in scorer.score([f"a{i}" for i in range(50)])}) == 1
     assert [r[2] for r in scorer.score([])] == []
+
+
+class Forked(Batch):
+    """Says which process it was forked from, and when it was called."""
+
+    def __call__(self, text):
+        start = time.monotonic()
+        if text.startswith("work"):
+            time.sleep(0.1)
+        super().__call__(text)
+        return [{"label": f"{os.getppid()} {start} {time.monotonic()}", "score": 0.5}]
+
+
+def test_an_overrun_costs_a_fork_of_one_process(scored):
+    got = scored(Forked, 1.0, 1).score(["a", "slow", "b", "slow", "c"])
+    parents = {int(r[0].split()[0]) for r in got if r[0]}
+    assert [r[2] for r in got] == [None, "TimeoutError"] * 2 + [None]
+    assert len(parents) == 1 and os.getpid() not in parents
+
+
+def test_many_hung_texts(scored):
+    scorer = scored(Batch, 1.0, 1)
+    start = time.monotonic()
+    got = scorer.score([name for i in range(64) for name in ("slow", f"a{i}")])
+    assert [r[2] for r in got] == ["TimeoutError", None] * 64
+    assert time.monotonic() - start < 30  # 44 s with an interpreter's start for each
+
+
+def test_children_with_memory_of_their_own_stay_few(scored, monkeypatch):
+    texts = [name for i in range(40) for name in ("slow", f"a{i}")]
+    monkeypatch.setattr(inference, "LIGHT_BYTES", 1)
+    heavy = scored(Batch, 1.0, 1)
+    heavy.score(texts)
+    assert heavy._wide == inference.MOST_CHILDREN >= len(heavy._children)
+    monkeypatch.undo()
+    light = scored(Batch, 1.0, 1)
+    light.score(texts)
+    assert light._wide > inference.MOST_CHILDREN
+
+
+def test_calls_that_work_do_not_run_beside_each_other(scored):
+    texts = [f"work{i}" for i in range(12)]
+    got = scored(Forked, 2.0, 1).score(["slow", *texts, "slow", *texts, "slow"])
+    assert sum(r[2] == "TimeoutError" for r in got) == 3
+    at = sorted(tuple(map(float, r[0].split()[1:])) for r in got if r[0])
+    assert len(at) == 24 and all(end <= start for (_, end), (start, _) in zip(at[:-1], at[1:], strict=True))
+
+
+def test_nothing_outlives_the_worker(tmp_path):
+    code = f"""
+import os, sys, threading, time
+sys.path[:0] = {[p for p in sys.path if p]!r}
+from tidegate.operators.inference import ChunkScorer
+def load():
+    return lambda text: time.sleep(600)
+scorer = ChunkScorer(load, 500.0, 1)
+print(scorer._stem._process.pid, scorer.child._process.pid, flush=True)
+threading.Timer(1.0, os._exit, (9,)).start()
+scorer.score(["a"])
+"""
+    worker = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=60)
+    assert worker.returncode == 9
+    until = time.monotonic() + 20
+    for pid in map(int, worker.stdout.split()):
+        while os.path.exists(f"/proc/{pid}") and open(f"/proc/{pid}/stat").read().rpartition(")")[2].split()[0] != "Z":
+            assert time.monotonic() < until
+            time.sleep(0.1)
+
+
+@pytest.mark.parametrize("kind, line", [("warm", "import json"), ("plain", "threading.Thread(target=time.sleep, args=(600,), daemon=True).start()")])
+def test_imports_are_shared_unless_they_start_threads(scored, tmp_path, monkeypatch, kind, line):
+    (tmp_path / f"imported_{kind}.py").write_text(f"""
+import os, threading, time
+{line}
+class Loaded:
+    def __init__(self):
+        self.threads = threading.active_count()
+    def __call__(self, text):
+        return [{{"label": f"{{self.threads}} {{os.getpid()}}", "score": 0.5}}]
+""")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    loaded = __import__(f"imported_{kind}").Loaded
+    scorer = scored(loaded, 5.0, 1)
+    assert scorer.score(["a"])[0][0] == f"{1 + (kind == 'plain')} {scorer.child._process.pid}"
+    assert kind in open(f"/proc/{scorer._stem._process.pid}/cmdline").read().split("\0")
