@@ -141,3 +141,14 @@ def test_groups_of_brute_force_when_names_of_sets_clash(spark, monkeypatch):
     texts = [*made(8, (1, 16), 60), *made(9, (15, 60), 60), *made(10, (30, 60), 40, " ".join(f"licence{i}" for i in range(40)))]
     docs = spark.createDataFrame(list(enumerate(texts)), SHAPE).repartition(3)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == groups(texts)
+
+
+@pytest.mark.parametrize("known", ["none", "all, ranked at random"])
+def test_groups_of_brute_force_whatever_is_frequent(spark, monkeypatch, known):
+    line = " ".join(f"licence{i}" for i in range(40))
+    texts = [*made(8, (1, 16), 60), *made(9, (15, 60), 60), *made(10, (30, 60), 40, line)]
+    names = np.unique(np.concatenate([jaccard.shingles(text.encode()) for text in texts])) if known != "none" else np.zeros(0, np.uint64)
+    ranks = np.random.default_rng(4).integers(1, 60, len(names)).astype(np.uint8)
+    monkeypatch.setattr(jaccard, "frequent_shingles", lambda docs, rows: (names, ranks))
+    docs = spark.createDataFrame(list(enumerate(texts)), SHAPE).repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == groups(texts)
