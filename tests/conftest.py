@@ -1,5 +1,6 @@
 import os
 import sys
+import threading
 
 import pytest
 
@@ -20,6 +21,15 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def callbacks_by_name():
+    """Spark's callback server, which streams start, runs in a thread called after the method ``run``; tests of the
+    scorer look for such threads of its own."""
+    for thread in threading.enumerate():
+        if type(getattr(getattr(thread, "_target", None), "__self__", None)).__module__.startswith("py4j."):
+            thread.name = "py4j callbacks"
+
+
 @pytest.fixture(scope="session")
 def small_banks():
     crisis = [

@@ -7,6 +7,7 @@ import time
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidegate.operators import inference
@@ -194,6 +195,23 @@ def test_spark_ml_scorer(spark, prompts, banks):
     assert "Python" not in verdicts._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fitted_model_in_a_session_that_has_observed(spark, prompts):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+
+    observed = Observation()
+    spark.range(3).observe(observed, F.count(F.lit(1)).alias("n")).collect()
+    assert observed.get == {"n": 3}
+    train = spark.createDataFrame([("dark night", 1.0), ("sunny day", 0.0)], "scored_text string, label double")
+    words = RegexTokenizer(inputCol="scored_text", outputCol="tokens", pattern="\\W+")
+    counts = HashingTF(inputCol="tokens", outputCol="features", numFeatures=64)
+    model = Pipeline(stages=[words, Pipeline(stages=[counts, LogisticRegression(maxIter=20)])]).fit(train)
+    verdicts = screen(prompts("so dark", "so sunny"), [semantic_stage("lr", 0.5, predictions=from_ml_model(model))])
+    assert [r.label for r in verdicts.orderBy("prompt_id").collect()] == ["Crisis", "Valid"]
+    assert model.stages[1].stages[1].hasSummary
+
+
 def test_waits_of_hung_texts_overlap(scored):
     scorer = scored(Batch, 2.0, 1)
     texts = [name for i in range(16) for name in ("slow", f"a{i}")]
